@@ -123,9 +123,11 @@ def weak_label(f: list[float] | np.ndarray) -> int | None:
 
 
 def fitted(documents: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Bag:
-    """Trees on the weakly labelled of at most ``sample`` pages, those with the smallest hashes of their keys."""
+    """Trees on the weakly labelled of about ``sample`` pages (all, if there are fewer), chosen by a hash of their keys."""
     rows = documents.where(F.col(key).isNotNull() & (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    texts = [r["t"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(sample).collect()]  # bounded by ``sample``
+    share = min(1.0, sample / max(1, documents.where(F.col(key).isNotNull()).count()))
+    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = [r["t"] for r in sorted(chosen.collect(), key=lambda r: (str(r["k"]), r["t"]))]  # about ``sample`` rows, whatever the number of partitions
     x = np.array([features(t) for t in texts]).reshape(-1, len(NAMES))
     labels = [weak_label(f) for f in x]
     known = [i for i, v in enumerate(labels) if v is not None]
