@@ -110,16 +110,28 @@ def _encoder(vocabulary: str, file: str | None) -> Encoder:
 
 
 def frequent_words(documents: DataFrame, text: str, most: int = MAX_WORDS, least: int = LEAST_COUNT) -> list[str]:
-    """The letter runs of all texts that occur ``least`` times or more; of these the ``most`` frequent, a bound on memory."""
+    """The letter runs of all texts that occur ``least`` times or more.
+
+    If these are more than ``most``, the least count rises to the eighth of a power of two at which they are not, so
+    that what the driver collects is bounded whatever the corpus and the number of partitions.
+    """
     words = documents.select(F.explode(F.split(F.col(text).cast("string"), r"\P{L}+")).alias("w")).where("w <> ''")
-    counts = words.groupBy("w").count().where(F.col("count") >= least)
-    return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()]
+    counts = words.groupBy("w").count().where(F.col("count") >= least).withColumn("step", F.floor(8 * F.log2("count")).cast("int")).persist()
+    above, floor = 0, -1
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):  # a few hundred rows at most
+        above += r["words"]
+        if above > most:
+            floor = r["step"]
+            break
+    out = [r["w"] for r in counts.where(F.col("step") > floor).select("w").collect()]
+    counts.unpersist()
+    return sorted(out)
 
 
 def word_lexicon(spark: SparkSession, documents: DataFrame, text: str, vocabulary: str, most: int = MAX_WORDS) -> str:
     """Compiles and shares the transducer of the corpus's frequent words, with and without the blank before them."""
     ranks = load_ranks(vocabulary)
-    words = [w for w in frequent_words(documents, text, most // 2)]
+    words = frequent_words(documents, text, most // 2)
     entries = {p.encode(): merged(p.encode(), ranks) for w in words for p in (w, f" {w}")}
     return share_file(spark, compiled(entries), "lexicon")
 
