@@ -1,4 +1,7 @@
-"""Checksums of formatted identifiers, as Column functions and, for Arrow UDFs, as Python functions."""
+"""Checksums of formatted identifiers, as Column functions and, for Arrow UDFs, as Python functions.
+
+Casts are tried, not forced: Spark may evaluate a cast before the pattern that guards it. Null gives false.
+"""
 
 from __future__ import annotations
 
@@ -23,38 +26,40 @@ def payment_card(value: Column) -> Column:
     """Network prefix with a length it allows, then Luhn."""
     v = compact(value)
     n = F.length(v)
-    four = F.substring(v, 1, 4).cast("int")
+    four = F.substring(v, 1, 4).try_cast("int")
     network = (
         (v.startswith("4") & n.isin(13, 16, 19))
-        | ((F.substring(v, 1, 2).cast("int").between(51, 55) | four.between(2221, 2720)) & (n == 16))
+        | ((F.substring(v, 1, 2).try_cast("int").between(51, 55) | four.between(2221, 2720)) & (n == 16))
         | (F.substring(v, 1, 2).isin("34", "37") & (n == 15))
-        | ((v.startswith("6011") | v.startswith("65") | F.substring(v, 1, 3).cast("int").between(644, 649)) & n.between(16, 19))
-        | ((F.substring(v, 1, 3).cast("int").between(300, 305) | F.substring(v, 1, 2).isin("36", "38")) & n.between(14, 19))
+        | ((v.startswith("6011") | v.startswith("65") | F.substring(v, 1, 3).try_cast("int").between(644, 649)) & n.between(16, 19))
+        | ((F.substring(v, 1, 3).try_cast("int").between(300, 305) | F.substring(v, 1, 2).isin("36", "38")) & n.between(14, 19))
         | (four.between(3528, 3589) & n.between(16, 19))
     )
-    return v.rlike("^[0-9]+$") & network & luhn(value)
+    return F.coalesce(v.rlike("^[0-9]+$") & network & luhn(value), F.lit(False))
 
 
 def iban(value: Column) -> Column:
     """The country and key moved to the end, letters as 10 to 35, must leave 1 modulo 97."""
     v = F.upper(compact(value))
     turned = F.split(F.concat(F.substring(v, 5, 64), F.substring(v, 1, 4)), "")
-    digit = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    digit = lambda c: F.when(c.rlike("^[0-9]$"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
     step = lambda acc, c: F.when(c == "", acc).when(digit(c) > 9, (acc * 100 + digit(c)) % 97).otherwise((acc * 10 + digit(c)) % 97)
-    return v.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & (F.aggregate(turned, F.lit(0), step) == 1)
+    return F.coalesce(v.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & (F.aggregate(turned, F.lit(0), step) == 1), F.lit(False))
 
 
 def nir(value: Column) -> Column:
     """French social security number: the key is 97 minus the body modulo 97."""
     v = compact(value)
     body = F.replace(F.replace(F.substring(v, 1, 13), F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18"))
-    return v.rlike("^[0-9]{5}(?:[0-9]{2}|2[AB])[0-9]{8}$") & (F.lit(97) - body.cast("bigint") % 97 == F.substring(v, 14, 2).cast("int"))
+    key = F.lit(97) - body.try_cast("bigint") % 97 == F.substring(v, 14, 2).try_cast("int")
+    return F.coalesce(v.rlike("^[0-9]{5}(?:[0-9]{2}|2[AB])[0-9]{8}$") & key, F.lit(False))
 
 
 def french_tax_number(value: Column) -> Column:
     """The last three digits are the first ten modulo 511."""
     v = compact(value)
-    return v.rlike("^[0-9]{13}$") & (F.substring(v, 1, 10).cast("bigint") % 511 == F.substring(v, 11, 3).cast("int"))
+    key = F.substring(v, 1, 10).try_cast("bigint") % 511 == F.substring(v, 11, 3).try_cast("int")
+    return F.coalesce(v.rlike("^[0-9]{13}$") & key, F.lit(False))
 
 
 # The same for Python strings, in Arrow UDFs.

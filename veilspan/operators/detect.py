@@ -13,7 +13,7 @@ from veilspan.functions import spans as S
 from veilspan.functions import validators as check
 from veilspan.operators import names as N
 from veilspan.operators.policy import redacts
-from veilspan.operators.rules import Span, drop_touching, personal_data, secrets, settle, tool_vocabulary
+from veilspan.operators.rules import TOOL_TERMS, Span, drop_touching, personal_data, secrets, settle
 from veilspan.operators.tabular import tabular
 from veilspan.operators.tokens import PLACEHOLDER, PLACEHOLDER_JAVA
 
@@ -53,6 +53,12 @@ def _ddl(frame: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
 
 
+def tool_words(name: Column) -> Column:
+    """Whether every word of a name is a word of the tools, as ``rules.tool_vocabulary`` says."""
+    words = F.filter(F.split(name, r"(?U)[\s\-'’]+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.lower(w).isin(*sorted(TOOL_TERMS)))
+
+
 def find_many(texts: DataFrame, batch: str, text: str = "text", known: DataFrame | None = None, names: NameDetector = N.context_names) -> DataFrame:
     """``with_spans``, and every name found in a batch, or known for it, wherever it stands again in that batch.
 
@@ -62,8 +68,7 @@ def find_many(texts: DataFrame, batch: str, text: str = "text", known: DataFrame
     found = with_spans(texts, text, names=names)
     own = found.where(F.exists("spans", lambda s: s["kind"] == "person_name")).select(F.col(batch).alias("__batch"), F.explode(S.spellings(F.col(text), F.col("spans"))).alias("name"))
     if known is not None:
-        vocabulary = F.udf(tool_vocabulary, "boolean")
-        own = own.unionByName(known.where(~vocabulary("name")).select(F.col(batch).alias("__batch"), "name"))
+        own = own.unionByName(known.where(~tool_words(F.col("name"))).select(F.col(batch).alias("__batch"), "name"))
     sets = own.groupBy("__batch").agg(F.collect_set("name").alias("__known"))
     joined = found.join(sets, found[batch].eqNullSafe(sets["__batch"]), "left").drop("__batch")
 
