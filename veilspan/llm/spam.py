@@ -65,7 +65,7 @@ def _kind(line: str, found: list[str]) -> str:
     helpers = sum(map(FUNCTION.__contains__, words))
     if links and (n < 5 or helpers < 2 or helpers < 0.15 * n or len(bare) < 0.35 * len(line)):
         return "technical" if "](" not in line and "<a " not in line and _TECHNICAL.search(bare) else "link"
-    if line.count("#") > 2 and len(_HASHTAG.findall(line)) * 2 >= n:
+    if line.count("#") > 2 and len(_HASHTAG.findall(line)) * 2 >= n - sum(map(str.isdigit, words)):
         return "tag"
     if helpers <= 2 and helpers < 0.2 * max(n, 1) and _PRICE.search(line):
         return "tag"
