@@ -16,6 +16,7 @@ from veilspan.operators.policy import redacts
 from veilspan.operators.rules import TOOL_TERMS, Span, drop_touching, personal_data, secrets, settle
 from veilspan.operators.tabular import tabular
 from veilspan.operators.tokens import PLACEHOLDER, PLACEHOLDER_JAVA
+from veilspan.sources.tables import spread
 
 NameDetector = Callable[[str], list[Span]]
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -46,7 +47,7 @@ def with_spans(texts: DataFrame, text: str = "text", out: str = "spans", names:
             found = _array([detected(t, names) for t in b.column(at).to_pylist()])
             yield pa.record_batch([*b.columns, found], names=[*b.schema.names, out])
 
-    return texts.mapInArrow(run, f"{_ddl(texts)}, `{out}` {S.SPANS}")
+    return spread(texts).mapInArrow(run, f"{_ddl(texts)}, `{out}` {S.SPANS}")
 
 
 def _ddl(frame: DataFrame) -> str:
@@ -102,7 +103,8 @@ def emails(text: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    return S.without_overlaps(S.union(*(S.matches(text, p, "phone") for p in (PHONE_FR, PHONE_PLUS, PHONE_NANP))))
+    found = S.without_overlaps(S.union(*(S.matches(text, p, "phone") for p in (PHONE_FR, PHONE_PLUS, PHONE_NANP))))
+    return F.when(text.rlike(r"\d(?:[ .()-]{0,2}\d){6}"), found).otherwise(F.array().cast(S.SPANS))
 
 
 def cards(text: Column) -> Column:

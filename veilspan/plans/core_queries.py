@@ -13,7 +13,7 @@ from veilspan.operators import policy as P
 from veilspan.operators import tokens as T
 from veilspan.operators import vault as V
 from veilspan.operators.nested import json_leaves
-from veilspan.sources.tables import table
+from veilspan.sources.tables import spread, table
 
 KEY = b"0123456789abcdef0123456789abcdef"  # a fixed key for these queries only
 SEED = "20261005"
@@ -54,7 +54,7 @@ def token_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phone_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).where(F.col("text").isNotNull())
+    rows = spread(_documents(spark, d).where(F.col("text").isNotNull()))
     return rows.select("doc_id", F.explode(S.values(F.col("text"), D.phones(F.col("text")))).alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
