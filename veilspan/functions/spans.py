@@ -12,9 +12,14 @@ SPAN = "struct<kind:string,start:int,end:int>"
 SPANS = f"array<{SPAN}>"
 
 
+def named(**fields: Column) -> Column:
+    """A struct whose field names no rule can strip, as happens to aliases beside a generator."""
+    return F.named_struct(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+
+
 def span(kind: Column | str, start: Column, end: Column) -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(kind.alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    return named(kind=kind, start=start.cast("int"), end=end.cast("int"))
 
 
 def _empty() -> Column:
@@ -23,7 +28,7 @@ def _empty() -> Column:
 
 def ranked(spans: Column) -> Column:
     """Spans sorted by start, then longer first, then by their place in the input."""
-    placed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), i.alias("i"), s.alias("s")))
+    placed = F.transform(spans, lambda s, i: named(a=s["start"], b=s["start"] - s["end"], i=i, s=s))
     return F.transform(F.array_sort(placed), lambda x: x["s"])
 
 
@@ -87,7 +92,7 @@ def joined_fragments(text: Column, spans: Column) -> Column:
 
 def best_by_confidence(candidates: Column) -> Column:
     """Of ``struct<kind,start,end,confidence>``, the most confident first, skipping overlaps; in order of start."""
-    placed = F.transform(candidates, lambda s, i: F.struct((-s["confidence"]).alias("a"), i.alias("i"), s.alias("s")))
+    placed = F.transform(candidates, lambda s, i: named(a=-s["confidence"], i=i, s=s))
     ordered = F.transform(F.array_sort(placed), lambda x: span(x["s"]["kind"], x["s"]["start"], x["s"]["end"]))
     keep = lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s)))
     return F.array_sort(F.aggregate(ordered, _empty(), keep), lambda a, b: a["start"] - b["start"])
@@ -144,10 +149,10 @@ def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     found, gaps = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, f"(?U){pattern}", -1)
     inner = F.regexp_extract_all(text, rx, F.lit(group))
     triples = F.arrays_zip(found.alias("m"), inner.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), _empty().alias("out"))
+    start = named(at=F.lit(0), out=_empty())
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x["g"]) + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span(kind, end - F.length(x["v"]), end))).alias("out"))
+        return named(at=end, out=F.concat(acc["out"], F.array(span(kind, end - F.length(x["v"]), end))))
 
     return F.aggregate(triples, start, step, lambda acc: acc["out"])

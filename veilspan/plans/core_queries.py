@@ -261,6 +261,9 @@ _WIDE = r"regexp_replace(text, '(\s|[,;|<>])', '\1\1', 'g')"
 _EMAILS = f"select doc_id, lang, unnest(regexp_extract_all({_WIDE}, '{_RE_EMAIL}', 1)) as value from documents where text like '%@%'"
 _INNER, _OUTER = T.pads(KEY)
 _HMAC = f"upper(substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(value)))), 1, 8))"
+_RE_PHONE = r"(?:^|[^\pL\pN_+.,]|[^0-9][.,])(\+\d{1,3}(?:[ .-]?\d){6,14}|0[1-9](?:[ .-]?\d{2}){4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?:$|[^\pL\pN_.,]|[.,](?:$|[^0-9]))"
+_SUFFIXES = "|".join(P.DOCUMENT_SUFFIXES)
+_QUOTED = ", ".join(f"'{s}'" for s in P.DOCUMENT_SUFFIXES)
 _EVENTS = "(select * from tool_events qualify row_number() over (partition by event_id order by received_at) = 1)"
 _QUALITY = "(select * from quality qualify row_number() over (partition by id order by ingested_at) = 1)"
 _GOLD = f"""gold as (select distinct q.id, q.dataset, s.kind as kind, s.start as start, s."end" as stop, s.source_label as label
@@ -278,6 +281,15 @@ SQL = {
     "email_tokens": f"select distinct value, '⟦EMAIL:' || {_HMAC} || '⟧' as token from ({_EMAILS})",
     "token_collisions": f"""select 'all' as session_id, 'email' as kind, token as token_id, count(distinct value) as "values"
       from (select value, '⟦EMAIL:' || {_HMAC} || '⟧' as token from ({_EMAILS})) group by token having count(distinct value) > 1""",
+    "masked_emails": rf"""select doc_id, masked as text from (select doc_id, text, regexp_replace(text, '(^|[^\pL\pN_.%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})', '\1⟦EMAIL:REDACTED⟧', 'g') as masked
+      from documents where text like '%@%') where masked <> text""",
+    "phone_values": rf"""select doc_id, value, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '{_RE_PHONE}', 1)) as value from documents where text is not null) group by doc_id, value""",
+    "document_reads": f"""select tool_name, count(*) as events, count_if(case when tool_name = 'Read' then regexp_matches(coalesce(json_extract_string(i, '$.file_path'), ''), '(?i)\\.({_SUFFIXES})$')
+        when tool_name in ('Bash', 'PowerShell') then regexp_matches(coalesce(json_extract_string(i, '$.command'), ''), '(?i)\\.({_SUFFIXES})\\b')
+        when tool_name = 'Grep' then regexp_matches(coalesce(json_extract_string(i, '$.path'), ''), '(?i)\\.({_SUFFIXES})\\b') or regexp_matches(coalesce(json_extract_string(i, '$.glob'), ''), '(?i)\\.({_SUFFIXES})\\b')
+          or coalesce(json_extract_string(i, '$.type'), '') in ({_QUOTED})
+        else starts_with(coalesce(tool_name, ''), 'mcp__') end) as reads
+      from (select tool_name, case when json_valid(tool_input) then tool_input end as i from {_EVENTS}) group by tool_name""",
     "leaf_counts": f"""select tool_name, count(*) as leaves, cast(sum(length(t.atom ->> '$')) as bigint) as characters
       from {_EVENTS} e, json_tree(e.tool_input) as t where t.type = 'VARCHAR' and json_valid(e.tool_input) group by tool_name""",
     "restorable_paths": rf"""select event_id, name, regexp_matches(lower(name), '^\.env($|\.)|.\.({'|'.join(P.RESTORABLE_SUFFIXES)})$') as restorable
