@@ -163,11 +163,10 @@ def odd_records(records: DataFrame, key: str = "id", text: str = "text") -> Data
     Null and empty texts hold none; null keys are left out. Repeated rows add nothing. An empty table gives no rows.
     Other columns are ignored.
     """
-    found = suspects(records, key, text)
-    sure = found.where("sure").select("id")
-    asked = found.where("not sure").select("id", F.explode("words").alias("word"))
-    confirmed = asked.join(vocabulary(records, text), "word").select("id")
-    return sure.unionByName(confirmed).where("id is not null").distinct().withColumnRenamed("id", key)
+    found = suspects(records, key, text).where("id is not null").select("id", "sure", F.explode_outer(F.when(~F.col("sure"), F.col("words"))).alias("word"))
+    words = vocabulary(records, text).withColumn("confirmed", F.lit(True))
+    kept = found.join(words, "word", "left").where("sure or confirmed")
+    return kept.select("id").distinct().withColumnRenamed("id", key)
 
 
 def repaired_text(text: str, confirmed: set[str]) -> tuple[str, list[list[Edit]]]:
