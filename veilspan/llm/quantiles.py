@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.sources.shared import shared_folder
 from veilspan.sources.tables import table
 
 K = 600
@@ -89,7 +90,8 @@ def observations(spark: SparkSession, directory: str) -> DataFrame:
 def p6_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     """Percentiles per model, band and day, and, with day null, per model and band from the merged days."""
     groups = ["model", "length_band"]
-    days = summaries(observations(spark, directory), [*groups, "day"], list(KINDS)).persist()
+    shared_folder(spark)
+    days = summaries(observations(spark, directory), [*groups, "day"], list(KINDS)).checkpoint()  # summaries only; read twice
     whole = merged(days, groups, KINDS).withColumn("day", F.lit(None).cast("date"))
     return percentiles(days.unionByName(whole), KINDS)
 
