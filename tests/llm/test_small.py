@@ -85,3 +85,15 @@ def test_bands(spark) -> None:
     rows = [(127, "x"), (128, None), (512, "short_lt128"), (None, "LONG_GE512"), (None, "short"), (None, None)]
     got = spark.createDataFrame(rows, "c int, l string").select(Q.length_band(F.col("c"), F.col("l")).alias("b")).collect()
     assert [x["b"] for x in got] == ["short_lt128", "medium_128_511", "long_ge512", "long_ge512", None, None]
+
+
+def test_batches_are_cut_by_size() -> None:
+    import pyarrow as pa
+
+    from veilspan.llm.batches import sliced
+
+    texts = ["a" * n for n in (5, 50, 3, 3, 3)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    parts = list(sliced(iter([batch]), most=10))
+    assert [p.num_rows for p in parts] == [1, 1, 5] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert list(sliced(iter([batch.slice(0, 0)])))[0].num_rows == 0

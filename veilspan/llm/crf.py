@@ -60,6 +60,44 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
 
 
+class _Rows:
+    """Rows of similar length as padded arrays."""
+
+    def __init__(self, rows: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]], index: dict[str, int]) -> None:
+        self.n, self.longest = len(rows), max(len(labels) for _, labels in rows)
+        gold = np.zeros((self.n, self.longest), dtype=np.int64)
+        self.there = np.zeros((self.n, self.longest), dtype=bool)
+        features, tokens = [], []
+        for r, (found, labels) in enumerate(rows):
+            gold[r, : len(labels)] = labels
+            self.there[r, : len(labels)] = True
+            for t, token in enumerate(found):
+                features += [index[f] for f in token]
+                tokens += [r * self.longest + t] * len(token)
+        self.features, self.tokens = np.array(features), np.array(tokens)
+        self.hot = np.eye(len(LABELS))[gold] * self.there[..., None]
+        self.pairs = np.einsum("rtk,rtl->kl", self.hot[:, :-1], self.hot[:, 1:])
+
+    def gradient(self, w: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected minus observed counts of features, label pairs and first labels."""
+        n, longest, there, k = self.n, self.longest, self.there, len(LABELS)
+        e = np.stack([np.bincount(self.tokens, weights=w[self.features, j], minlength=n * longest) for j in range(k)], axis=1).reshape(n, longest, k)
+        alpha, beta = np.zeros((n, longest, k)), np.zeros((n, longest, k))
+        alpha[:, 0] = starts + e[:, 0]
+        for t in range(1, longest):
+            new = _lse(alpha[:, t - 1, :, None] + moves, 1) + e[:, t]
+            alpha[:, t] = np.where(there[:, t, None], new, alpha[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            new = _lse(moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+            beta[:, t] = np.where(there[:, t + 1, None], new, 0)
+        z = _lse(alpha[:, -1], 1)
+        node = np.exp(alpha + beta - z[:, None, None]) * there[..., None]
+        pair = np.exp(alpha[:, :-1, :, None] + moves + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
+        off = (node - self.hot).reshape(-1, k)
+        of_features = np.stack([np.bincount(self.features, weights=off[self.tokens, j], minlength=len(w)) for j in range(k)], axis=1)
+        return of_features, pair.sum((0, 1)) - self.pairs, off.reshape(n, longest, k)[:, 0].sum(0)
+
+
 def train(rows: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]], steps: int = 100, rate: float = 0.25, decay: float = 1e-4) -> Crf:
     """Fits by full-batch gradient of the penalised likelihood (AdaGrad); the rows are held in memory, so bound them."""
     index: dict[str, int] = {}
@@ -67,44 +105,17 @@ def train(rows: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]], steps:
         for token in features:
             for f in token:
                 index.setdefault(f, len(index))
-    longest = max(len(labels) for _, labels in rows)
-    n, k = len(rows), len(LABELS)
-    gold = np.zeros((n, longest), dtype=np.int64)
-    there = np.zeros((n, longest), dtype=bool)
-    at_feature, at_token = [], []
-    for r, (features, labels) in enumerate(rows):
-        gold[r, : len(labels)] = labels
-        there[r, : len(labels)] = True
-        for t, token in enumerate(features):
-            for f in token:
-                at_feature.append(index[f])
-                at_token.append(r * longest + t)
-    at_feature, at_token = np.array(at_feature), np.array(at_token)
+    ordered = sorted((r for r in rows if r[1]), key=lambda r: len(r[1]))
+    parts = [_Rows(ordered[i : i + 500], index) for i in range(0, len(ordered), 500)]
+    k = len(LABELS)
     w, moves, starts = np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)
-    banned = np.zeros((k, k))
+    banned, start_ban = np.zeros((k, k)), np.array([0, 0, _NEVER])
     banned[0, 2] = _NEVER
-    start_ban = np.array([0, 0, _NEVER])
     sums = [np.full_like(x, 1e-8) for x in (w, moves, starts)]
-    one = np.eye(k)
-    gold_hot = one[gold] * there[..., None]
-    pair_gold = np.einsum("rtk,rtl->kl", gold_hot[:, :-1], gold_hot[:, 1:])
     for _ in range(steps):
-        e = np.stack([np.bincount(at_token, weights=w[at_feature, j], minlength=n * longest) for j in range(k)], axis=1).reshape(n, longest, k)
-        m, s = moves + banned, starts + start_ban
-        alpha, beta = np.zeros((n, longest, k)), np.zeros((n, longest, k))
-        alpha[:, 0] = s + e[:, 0]
-        for t in range(1, longest):
-            new = _lse(alpha[:, t - 1, :, None] + m, 1) + e[:, t]
-            alpha[:, t] = np.where(there[:, t, None], new, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            new = _lse(m + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(there[:, t + 1, None], new, 0)
-        z = _lse(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - z[:, None, None]) * there[..., None]
-        pair = np.exp(alpha[:, :-1, :, None] + m + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
-        off = (node - gold_hot).reshape(-1, k)
-        grad_w = np.stack([np.bincount(at_feature, weights=off[at_token, j], minlength=len(index)) for j in range(k)], axis=1)
-        grads = [grad_w / n + decay * w, (pair.sum((0, 1)) - pair_gold) / n + decay * moves, off.reshape(n, longest, k)[:, 0].sum(0) / n]
+        grads = [sum(g) / len(ordered) for g in zip(*(p.gradient(w, moves + banned, starts + start_ban) for p in parts), strict=True)]
+        grads[0] += decay * w
+        grads[1] += decay * moves
         for value, total, grad in zip((w, moves, starts), sums, grads, strict=True):
             total += grad**2
             value -= rate * grad / np.sqrt(total)

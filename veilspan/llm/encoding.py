@@ -20,6 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.llm.batches import sliced
 from veilspan.llm.lexicon import Lexicon, compiled
 from veilspan.sources.shared import share_file
 from veilspan.sources.tables import table
@@ -147,7 +148,7 @@ def encoded(documents: DataFrame, key: str, text: str, tokenizers: str = TOKENIZ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, file)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, counts = encoder.encode(batch.column("__text").to_pylist())
             ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.array(counts)], names=[key, "ids", "n_ids"])

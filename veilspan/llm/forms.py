@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.llm.batches import sliced
 from veilspan.llm.characters import INVISIBLE, LOOKALIKES, SPACES
 from veilspan.sources.tables import table
 
@@ -135,7 +136,7 @@ def look_alikes(text: str) -> list[tuple[int, int, str, bool]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sure, words = [], []
         for text in batch.column(1).to_pylist():
             edits = character_edits(text)
@@ -190,7 +191,7 @@ def repaired(records: DataFrame, key: str = "id", text: str = "text", spans: str
     confirmed = asked.join(vocabulary(records, text), "word").groupBy("id").agg(F.collect_set("word").alias("confirmed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, all_spans = [], []
             for t, s, c in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("confirmed").to_pylist(), strict=True):
                 new, rounds = repaired_text(t, set(c or ()))

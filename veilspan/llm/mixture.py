@@ -56,7 +56,7 @@ def planned(totals: dict[str, int], targets: dict[str, float], repeats: dict[str
 
 def _decided(group: pd.DataFrame, last: bool) -> pd.DataFrame:
     """One block: the flight, and at the last level the landing; ``p`` of undecided documents stays between 0 and 1."""
-    group = group.sort_values("key", kind="stable")
+    group = group.sort_values("__key", kind="stable")
     rng = np.random.default_rng([SEED, len(group), int(group["salt"].iloc[0]) & 0xFFFFFFFF])
     p = flight(group["p"].to_numpy(), group["tokens"].to_numpy(), rng)
     group["p"] = landing(p, group["tokens"].to_numpy(), rng) if last else p
@@ -72,24 +72,24 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str, source: str, tok
     share counts. The same rows give the same mixture, however they are partitioned. An empty table gives no rows.
     """
     listed = {r["source"]: (r["share"], r["most"]) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).collect()}
-    rows = documents.select(F.col(key).cast("string").alias("key"), F.col(key), F.col(source).alias("source"), F.col(tokens).cast("long").alias("tokens"))
+    rows = documents.select(F.col(key).cast("string").alias("__key"), F.col(key).alias("__id"), F.col(source).alias("source"), F.col(tokens).cast("long").alias("tokens"))
     rows = rows.where((F.col("tokens") > 0) & F.col("source").isin([*listed]))
     sums = {r["source"]: (r["tokens"], r["n"]) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}  # one row per source
     plan = planned({s: t for s, (t, _) in sums.items()}, {s: w for s, (w, _) in listed.items()}, {s: m for s, (_, m) in listed.items()}, total)
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
-    shape = f"key string, `{key}` {kind}, source string, tokens long, sure int, p double, salt long"
+    shape = f"__key string, __id {kind}, source string, tokens long, sure int, p double, salt long"
     if not plan:
         return spark.createDataFrame([], f"`{key}` {kind}, source string, tokens long, copies int")
     copies = F.create_map(*(F.lit(x) for s, k in plan.items() for x in (s, float(k))))[F.col("source")]
     rows = rows.where(F.col("source").isin([*plan])).withColumn("k", copies)
     rows = rows.withColumn("sure", F.floor(F.col("k") + 1e-9).cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("k") - F.col("sure")))
-    rows = rows.withColumn("salt", F.xxhash64("key")).drop("k").select("key", key, "source", "tokens", "sure", "p", "salt")
+    rows = rows.withColumn("salt", F.xxhash64("__key")).drop("k").select("__key", "__id", "source", "tokens", "sure", "p", "salt")
     most = max(n for _, n in sums.values())
     blocks = math.ceil(most / BLOCK)
     decided = []
     while blocks > 1:
-        number = F.pmod(F.xxhash64("key", F.lit(blocks)), F.lit(blocks)).cast("int")
+        number = F.pmod(F.xxhash64("__key", F.lit(blocks)), F.lit(blocks)).cast("int")
         rows = rows.withColumn("block", number).groupBy("source", "block").applyInPandas(lambda g: _decided(g.drop(columns="block"), False), shape)
         rows = rows.checkpoint()  # in the shared folder: the decided and the undecided part are read apart
         decided.append(rows.where("p = 0 or p = 1"))
@@ -98,7 +98,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str, source: str, tok
     out = rows.groupBy("source").applyInPandas(lambda g: _decided(g, True), shape)
     for part in decided:
         out = out.unionByName(part)
-    return out.select(key, "source", "tokens", (F.col("sure") + F.col("p").cast("int")).alias("copies")).where("copies > 0")
+    return out.select(F.col("__id").alias(key), "source", "tokens", (F.col("sure") + F.col("p").cast("int")).alias("copies")).where("copies > 0")
 
 
 def shares(taken: DataFrame, targets: DataFrame) -> DataFrame:

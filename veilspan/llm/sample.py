@@ -59,8 +59,8 @@ def stable_sample(records: DataFrame, key: str, fraction: float = FRACTION, buck
     """
     taken = round(fraction * 16**digits) if buckets is None else buckets
     order = F.broadcast(bucket_order(records.sparkSession, seed, digits).where(F.col("rank") < taken))  # at most 16**digits rows
-    keys = records.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull())
-    return keys.withColumn("bucket", bucket(F.col(key), digits)).join(order, "bucket").select(key, "bucket", "rank").distinct()
+    keys = records.select(F.col(key).cast("string").alias("__key")).where("__key is not null")
+    return keys.withColumn("bucket", bucket(F.col("__key"), digits)).join(order, "bucket").select(F.col("__key").alias(key), "bucket", "rank").distinct()
 
 
 def p2_sample(spark: SparkSession, directory: str) -> DataFrame:

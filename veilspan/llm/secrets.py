@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspan.llm.batches import sliced
 from veilspan.llm.crf import Crf, train
 from veilspan.llm.secret_lines import LINES, drafted
 from veilspan.sources.tables import table
@@ -68,7 +69,7 @@ def shape(token: str) -> str:
         return f"hex{n if n in (32, 40, 64, 128) else ''}"
     if re.fullmatch(r"[\d.:/-]+", core):
         return "numeric"
-    if "/" in core and (core[0] == "/" or core.count("/") > 1 and not any(c.isdigit() for c in core) or re.fullmatch(r"[a-z_]+(?:/[\w.\-]+)+", core)):
+    if "/" in core and not (n >= 24 and len(_CASE.findall(core)) >= 8) and (core[0] == "/" or core.count("/") > 1 and not any(c.isdigit() for c in core) or re.fullmatch(r"[a-z_]+(?:/[\w.\-]+)+", core)):
         return "path"
     letters, digits = any(c.isalpha() for c in core), any(c.isdigit() for c in core)
     mark = any(c in "!*+%#~^" for c in core)
@@ -309,7 +310,7 @@ def findings(events: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(crf)
-        for batch in batches:
+        for batch in sliced(batches):
             at, rows = [], []
             for f, name in enumerate(fields):
                 for i, raw in enumerate(batch.column(f + 1).to_pylist()):
@@ -331,7 +332,7 @@ def redacted(events: DataFrame, fields: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(crf)
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns)
             for p in places:
                 out = [raw if _parsed(raw) is None else redacted_json(raw, find) for raw in columns[p].to_pylist()]

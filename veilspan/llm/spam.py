@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.llm.batches import sliced
 from veilspan.llm.trees import Bag
 from veilspan.sources.tables import table
 
@@ -148,7 +149,7 @@ def scored(documents: DataFrame, key: str, text: str, host: str) -> DataFrame:
     bag = fitted(documents, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("__text").to_pylist()
             there = [i for i, t in enumerate(texts) if t and not t.isspace()]
             page = np.zeros(len(texts))
