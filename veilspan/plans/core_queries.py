@@ -64,7 +64,7 @@ def card_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d, "lang", "source", "origin").withColumn("session", F.coalesce("origin", F.lit("none")))
+    rows = spread(_documents(spark, d, "lang", "source", "origin")).withColumn("session", F.coalesce("origin", F.lit("none")))
     return V.with_tokens(D.with_spans(rows), V.session_keys(rows, "session", KEY), "session")
 
 

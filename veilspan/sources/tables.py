@@ -15,6 +15,7 @@ def spread(frame: DataFrame) -> DataFrame:
     """A small input, of fewer partitions than there are cores, spread over the cores; any other as it is.
 
     One file of one row group is one task, however costly its rows are. Large inputs have many and are not shuffled.
+    For scans and projections of scans only: counting the partitions of a plan with an exchange would run it.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
