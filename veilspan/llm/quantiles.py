@@ -78,22 +78,34 @@ KINDS = {"elapsed_ms": "double", "characters": "bigint"}
 
 
 def observations(spark: SparkSession, directory: str) -> DataFrame:
-    """Timing without redelivered rows: ``model``, ``length_band``, ``day``, ``elapsed_ms`` (null if not usable), ``characters``."""
-    rows = table(spark, directory, "timing", "obs_id", "model", "run_at", "characters", "length_band", "elapsed_ms")
+    """Timing without redelivered rows: ``id``, ``model``, ``length_band``, ``day``, ``elapsed_ms`` (null if not usable), ``characters``."""
+    rows = table(spark, directory, "timing", "obs_id", "id", "model", "run_at", "characters", "length_band", "elapsed_ms")
     rows = rows.select(
-        "obs_id", "model", length_band(F.col("characters"), F.col("length_band")).alias("length_band"), F.to_date("run_at").alias("day"),
+        "obs_id", "id", "model", length_band(F.col("characters"), F.col("length_band")).alias("length_band"), F.to_date("run_at").alias("day"),
         usable(F.col("elapsed_ms")).alias("elapsed_ms"), "characters",
     )
     return rows.dropDuplicates(["obs_id"]).drop("obs_id")
 
 
 def p6_percentiles(spark: SparkSession, directory: str) -> DataFrame:
-    """Percentiles per model, band and day, and, with day null, per model and band from the merged days."""
-    groups = ["model", "length_band"]
+    """Percentiles at three grains: ``day`` (model, band and day), ``band`` (model and band, from the merged days) and ``record`` (id).
+
+    Columns that a grain does not group by are null.
+    """
     shared_folder(spark)
-    days = summaries(observations(spark, directory), [*groups, "day"], list(KINDS)).checkpoint()  # summaries only; read twice
-    whole = merged(days, groups, KINDS).withColumn("day", F.lit(None).cast("date"))
-    return percentiles(days.unionByName(whole), KINDS)
+    rows = observations(spark, directory)
+    groups = ["model", "length_band"]
+    days = summaries(rows, [*groups, "day"], list(KINDS)).checkpoint()  # summaries only; read twice
+    whole = merged(days, groups, KINDS)
+    records = summaries(rows, ["id"], list(KINDS))
+    parts = [(days, "day"), (whole, "band"), (records, "record")]
+    kinds = {"model": "string", "length_band": "string", "day": "date", "id": "string"}
+    out = None
+    for part, grain in parts:
+        keys = [F.col(c) if c in part.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+        part = part.select(F.lit(grain).alias("grain"), *keys, *(f"{c}{x}" for c in KINDS for x in ("_sketch", "_n")))
+        out = part if out is None else out.unionByName(part)
+    return percentiles(out, KINDS)
 
 
 QUERIES = {"p6_percentiles": p6_percentiles}
