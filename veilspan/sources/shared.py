@@ -36,5 +36,5 @@ def share_file(spark: SparkSession, content: bytes, stem: str) -> str:
         for at in range(0, len(content), 1 << 20):
             out.write(bytearray(content[at : at + (1 << 20)]))
         out.close()
-    sc.addFile(path.toString())
+    sc.addFile(files.makeQualified(path).toString())  # with its scheme: a bare path would be read from the driver's disk
     return name
