@@ -100,6 +100,14 @@ def test_protect_and_restore(spark) -> None:
     assert V.decrypted(V.encrypted(vault, F.lit("0" * 32)), F.lit("0" * 32)).exceptAll(vault).count() == 0
 
 
+def test_paths(spark) -> None:
+    frame = spark.createDataFrame([("s", "a@b.example")], "session string, text string")
+    vault = V.vault_rows(V.with_tokens(D.with_spans(frame), V.session_keys(frame, "session", KEY), "session"), "session")
+    token = "⟦EMAIL:" + vault.first()["token_id"] + "⟧"
+    events = spark.createDataFrame([(1, "s", "Read", f'{{"file_path": "/x/{token}.txt"}}'), (2, "s", "Bash", f'{{"command": "cat {token}"}}'), (3, "t", "Glob", f'{{"path": "{token}"}}'), (4, "s", "Read", None)], "event_id int, session string, tool_name string, tool_input string")
+    assert {tuple(r) for r in V.restored_paths(events, vault, "event_id", "session").collect()} == {(1, "/x/a@b.example.txt"), (3, token)}
+
+
 def test_token_id_is_hmac(spark) -> None:
     inner, outer = T.pads(KEY)
     got = spark.createDataFrame([("é😀",)], "v string").select(T.token_id(F.col("v"), F.lit(inner), F.lit(outer)).alias("t")).first()["t"]

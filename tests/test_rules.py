@@ -121,6 +121,16 @@ def test_model_decoding() -> None:
     assert best_alone([(0, 5, 0.5), (3, 8, 0.9), (9, 10, 0.1)]) == [Span("person_name", 3, 8), Span("person_name", 9, 10)]
 
 
+def test_windows_and_labels() -> None:
+    import numpy as np
+
+    from veilspan.operators.decoding import labelled, token_windows
+
+    assert token_windows(10) == [(0, 10)] and token_windows(600) == [(0, 512), (448, 600)] and token_windows(0) == [(0, 0)]
+    (label, p), = labelled(np.array([[0.0, np.log(3.0)]]), ["O", "B-PER"])
+    assert label == "B-PER" and abs(p - 0.75) < 1e-12
+
+
 def test_shell() -> None:
     assert ends_early("make; exit 1") and ends_early("set -e\nls") and not ends_early("echo 'exit 1'") and not ends_early("exit 0")
     assert not ends_early("cat <<EOF\nexit 1\nEOF\nls") and ends_early("throw 'x'", "PowerShell") and ends_early("gc x -ErrorAction Stop", "PowerShell")

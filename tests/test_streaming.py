@@ -80,3 +80,10 @@ def test_delivery_and_purge(spark) -> None:
     vault = spark.createDataFrame([("a",), ("b",)], "session_id string")
     active = spark.sql("select 'a' as session_id, current_timestamp() as last_active union all select 'b', current_timestamp() - interval 8 days")
     assert [r[0] for r in P.purge(vault, active).collect()] == ["a"]
+
+
+def test_due_batches(spark) -> None:
+    pending = spark.createDataFrame([("a", 90.0, 97.0), ("b", 99.0, 99.5), ("c", 80.0, 99.5), ("d", 90.0, 97.0), ("e", 0.0, -50.0)], "session string, first double, last double")
+    sent = spark.createDataFrame([("d", 95.0), ("a", 60.0)], "session string, time double")
+    assert [r["session"] for r in N.due(pending, sent, 100.0).collect()] == ["c", "a"]
+    assert [r["session"] for r in N.newest(pending, most=2).collect()] == ["b", "c"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.spans import SPANS
@@ -55,6 +56,24 @@ def uncovered(text: str, windows: list[list[dict]]) -> list[int]:
     return [i for i, c in enumerate(text) if unicodedata.category(c)[0] in "LMN" and i not in seen]
 
 
+def token_windows(n: int, size: int = 512, stride: int = 64) -> list[tuple[int, int]]:
+    """Windows over ``n`` tokens, each sharing ``stride`` tokens with the one before; the last one ends at ``n``."""
+    starts = range(0, max(n - stride, 1), size - stride)
+    return [(s, min(s + size, n)) for s in starts]
+
+
+def labelled(logits: np.ndarray, labels: list[str]) -> list[tuple[str, float]]:
+    """Best label of every token with its softmax probability."""
+    z = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p = z / z.sum(axis=1, keepdims=True)
+    return [(labels[i], float(row[i])) for i, row in zip(p.argmax(axis=1), p, strict=True)]
+
+
+def readable(text: Column) -> Column:
+    """Text that holds no broken characters, as models and offsets need it."""
+    return F.make_valid_utf8(text)
+
+
 def best_alone(candidates: list[tuple[int, int, float]]) -> list[Span]:
     """The most confident first, without overlaps, in order of start."""
     out: list[Span] = []

@@ -87,6 +87,17 @@ def restored(texts: DataFrame, vault: DataFrame, key: str, session: str, text: s
     return back.withColumn(text, F.when(F.col("__map").isNull(), F.col(text)).otherwise(S.replaced(F.col(text), F.col("__spans"), values))).drop("__spans", "__map")
 
 
+# The path argument of the tools whose paths are restored; shell commands never are.
+PATH_ARGUMENTS = {"Read": "file_path", "Edit": "file_path", "MultiEdit": "file_path", "Write": "file_path", "NotebookEdit": "notebook_path", "Glob": "path", "Grep": "path"}
+
+
+def restored_paths(events: DataFrame, vault: DataFrame, key: str, session: str, tool: str = "tool_name", arguments: str = "tool_input") -> DataFrame:
+    """``key``, ``path``: the path argument of an event, its tokens restored; no row for tools or events without one."""
+    path = F.coalesce(*(F.when(F.col(tool) == t, F.get_json_object(arguments, f"$.{a}")) for t, a in PATH_ARGUMENTS.items()))
+    rows = events.select(F.col(key), F.col(session), path.alias("path")).where("path is not null")
+    return restored(rows, vault, key, session, text="path").select(key, "path")
+
+
 def summary(items: DataFrame, *groups: str) -> DataFrame:
     """Counts by group, action and category, without any value."""
     rows = items.select(*groups, F.explode("items").alias("i"))

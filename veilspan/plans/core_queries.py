@@ -186,7 +186,8 @@ def exact_span_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_character_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return M.exact_metrics(_scored(spark, d), groups=["dataset"]).select("dataset", "covered", "gold_chars", "predicted_chars", "shared_chars", "full_coverage", "char_precision", "char_recall", "negatives", "negative_rate")
+    out = M.exact_metrics(_scored(spark, d), groups=["dataset"])
+    return out.select("dataset", "covered", "gold_chars", "predicted_chars", "shared_chars", "negatives", *(F.round(c, 9).alias(c) for c in ("full_coverage", "char_precision", "char_recall", "negative_rate")))
 
 
 def masking_f2(spark: SparkSession, d: str) -> DataFrame:
@@ -202,6 +203,15 @@ def interval_hits(spark: SparkSession, d: str) -> DataFrame:
     return M.touched(gold, predicted, ["id", "kind"]).groupBy("kind").agg(F.count("*").alias("hidden"))
 
 
+def miss_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Gold spans by label as complete, partial or missed."""
+    rows = _scored(spark, d).join(table(spark, d, "quality", "id", "spans").dropDuplicates(["id"]), "id")
+    gold = rows.select("id", F.explode("spans").alias("s")).select("id", "s.kind", "s.start", "s.end", "s.source_label").where("start >= 0 and end > start")
+    gold = gold.join(rows.select("id", F.length("text").alias("n")), "id").where("end <= n").drop("n").distinct()
+    predicted = rows.select("id", F.explode("predicted").alias("s")).select("id", "s.*").distinct()
+    return M.misses(gold, predicted, rows.select("id", "text"), "id")
+
+
 def merged_spans(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d)
     return rows.where(F.size("gold") > 0).select("id", F.size(S.merged(F.col("gold"))).alias("islands"), S.total_length(S.merged(F.col("gold"))).alias("characters"))
@@ -248,7 +258,7 @@ QUERIES = {
     for f in (
         masked_documents, email_values, email_counts_by_lang, masked_emails, email_tokens, token_collisions, phone_values, card_values, protection_summary, vault_values, restore_roundtrip,
         session_names, response_findings, leaf_counts, document_reads, restorable_paths, refused_writes, length_bands, latency_by_model, eligible_models, uncovered_keys, hash_sample, hash_tenths,
-        record_audit, unseen_records, exact_span_metrics, span_character_metrics, masking_f2, interval_hits, merged_spans, bootstrap_f1, word_window_counts, newest_sessions, event_sessions,
+        record_audit, unseen_records, exact_span_metrics, span_character_metrics, masking_f2, interval_hits, miss_outcomes, merged_spans, bootstrap_f1, word_window_counts, newest_sessions, event_sessions,
         repeated_texts, redelivered_events,
     )
 }
@@ -271,6 +281,9 @@ _GOLD = f"""gold as (select distinct q.id, q.dataset, s.kind as kind, s.start as
 predicted as (select distinct id, dataset, kind, start, case when stop - start > 20 then stop - 3 else stop end as stop from gold where label is not null),
 g as (select distinct id, dataset, kind, start, stop from gold),
 sets as (select distinct dataset from quality where spans is not null)"""
+_PLACES = f"""texts as (select id, text from {_QUALITY}),
+gp as (select distinct x.id, x.dataset, x.kind, x.i from (select id, dataset, kind, unnest(range(start, stop)) as i from g) x join texts t on t.id = x.id where not regexp_matches(substr(t.text, cast(x.i + 1 as bigint), 1), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]')),
+pp as (select distinct x.id, x.dataset, x.kind, x.i from (select id, dataset, kind, unnest(range(start, stop)) as i from predicted) x join texts t on t.id = x.id where not regexp_matches(substr(t.text, cast(x.i + 1 as bigint), 1), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]'))"""
 _ISLANDS = """(select id, dataset, start, stop, sum(fresh) over (partition by id order by start, stop desc) as island from
   (select *, case when start <= max(stop) over (partition by id order by start, stop desc rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from {0}))"""
 
@@ -312,6 +325,20 @@ SQL = {
       c as (select dataset, count(*) as exact from (select * from g intersect select * from predicted) group by dataset),
       j as (select s.dataset, coalesce(gold, 0) as gold, coalesce(predicted, 0) as predicted, coalesce(exact, 0) as exact from sets s left join a using (dataset) left join b using (dataset) left join c using (dataset))
       select dataset, gold, predicted, exact, round(exact / nullif(predicted, 0), 9) as precision, round(exact / nullif(gold, 0), 9) as recall, round(2.0 * exact / nullif(gold + predicted, 0), 9) as f1 from j""",
+    "span_character_metrics": f"""with {_GOLD}, {_PLACES},
+      a as (select dataset, count(*) as gold_chars from gp group by dataset), b as (select dataset, count(*) as predicted_chars from pp group by dataset),
+      c as (select gp.dataset, count(*) as shared_chars from gp join pp using (id, kind, i) group by gp.dataset),
+      n as (select dataset, count(*) as gold from g group by dataset),
+      v as (select dataset, count(*) as covered from g where not exists (select 1 from gp where gp.id = g.id and gp.kind = g.kind and gp.i >= g.start and gp.i < g.stop and not exists (select 1 from pp where pp.id = gp.id and pp.kind = gp.kind and pp.i = gp.i)) group by dataset),
+      m as (select dataset, count(*) as negatives from {_QUALITY} where spans is not null and id not in (select id from g) group by dataset)
+      select s.dataset, coalesce(covered, 0) as covered, coalesce(gold_chars, 0) as gold_chars, coalesce(predicted_chars, 0) as predicted_chars, coalesce(shared_chars, 0) as shared_chars, coalesce(negatives, 0) as negatives,
+        round(coalesce(covered, 0) / nullif(gold, 0), 9) as full_coverage, round(coalesce(shared_chars, 0) / nullif(predicted_chars, 0), 9) as char_precision, round(coalesce(shared_chars, 0) / nullif(gold_chars, 0), 9) as char_recall,
+        case when coalesce(negatives, 0) > 0 then 0.0 end as negative_rate
+      from sets s left join a using (dataset) left join b using (dataset) left join c using (dataset) left join n using (dataset) left join v using (dataset) left join m using (dataset)""",
+    "miss_outcomes": f"""with {_GOLD}, {_PLACES}, w as (select row_number() over () as k, * from gold),
+      o as (select k, label, count(i) as want, count(case when exists (select 1 from pp where pp.id = x.id and pp.kind = x.kind and pp.i = x.i) then 1 end) as have
+        from (select w.k, w.label, w.id, w.kind, t.i from w left join (select distinct id, kind, i from gp) t on t.id = w.id and t.kind = w.kind and t.i >= w.start and t.i < w.stop) x group by k, label)
+      select label as source_label, case when have = 0 then 'missed' when have = want then 'complete' else 'partial' end as outcome, count(*) as spans from o group by all""",
     "interval_hits": f"with {_GOLD} select kind, count(*) as hidden from g where exists (select 1 from predicted p where p.id = g.id and p.kind = g.kind and g.start < p.stop and p.start < g.stop) group by kind",
     "merged_spans": f"""with {_GOLD} select id, cast(count(*) as int) as islands, cast(sum(stop - start) as int) as characters
       from (select id, island, min(start) as start, max(stop) as stop from {_ISLANDS.format('g')} group by id, island) group by id""",

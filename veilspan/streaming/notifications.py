@@ -116,6 +116,22 @@ def grouped(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("session").transformWithStateInPandas(statefulProcessor=Grouping(), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
 
 
+def due(pending: DataFrame, sent: DataFrame, now: float, most: int = MOST_SESSIONS) -> DataFrame:
+    """The batch form over tables: pending batches (``session``, ``first``, ``last``) that may go out at ``now``.
+
+    Last deliveries (``session``, ``time``) join from the left; the oldest ``most`` come first.
+    """
+    fresh = pending.where(F.col("last").between(now - TTL, now) & ((F.col("last") <= now - DEBOUNCE) | (F.col("first") <= now - MAX_WAIT)))
+    last = sent.where(F.col("time").between(now - TTL, now)).groupBy("session").agg(F.max("time").alias("time"))
+    quiet = fresh.join(last, "session", "left").where(F.col("time").isNull() | (F.col("time") <= now - COOLDOWN))
+    return quiet.drop("time").orderBy("first", "session").limit(most)
+
+
+def newest(rows: DataFrame, last: str = "last", most: int = MOST_SESSIONS) -> DataFrame:
+    """What a bounded queue keeps: the ``most`` sessions with the latest activity."""
+    return rows.orderBy(F.desc(last), "session").limit(most)
+
+
 def event_time_groups(summaries: DataFrame, ts: str = "ts", gap: str = "2 seconds", late: str = "1 minute") -> DataFrame:
     """The same idea on event time: session windows under a watermark (ours; late rows beyond it are dropped)."""
     return summaries.withWatermark(ts, late).groupBy("session", F.session_window(ts, gap)).agg(F.count("*").alias("events"))
