@@ -100,6 +100,14 @@ def test_protect_and_restore(spark) -> None:
     assert V.decrypted(V.encrypted(vault, F.lit("0" * 32)), F.lit("0" * 32)).exceptAll(vault).count() == 0
 
 
+def test_names_of_large_batches(spark) -> None:
+    rows = [("s", "Nom : Jean Dupont"), ("s", "Nom : Ann Lee-Roy"), ("s", "jean dupont et Ann Lee-Roy, puis Jean"), ("t", "Jean Dupont"), (None, "Nom : Bob Ray"), (None, "Bob Ray dort"), ("s", None), ("s", "jean dupont et Ann Lee-Roy, puis Jean")]
+    frame = spark.createDataFrame(rows, "session string, text string")
+    few, many = ([tuple(r) for r in D.find_many(frame, "session", most=n).select("session", "text", "spans").orderBy("session", "text").collect()] for n in (2000, 1))
+    assert few == many and len(few) == 8
+    assert {(r[1], len(r[2])) for r in few if r[1]} >= {("jean dupont et Ann Lee-Roy, puis Jean", 2), ("Jean Dupont", 0), ("Bob Ray dort", 1)}
+
+
 def test_paths(spark) -> None:
     frame = spark.createDataFrame([("s", "a@b.example")], "session string, text string")
     vault = V.vault_rows(V.with_tokens(D.with_spans(frame), V.session_keys(frame, "session", KEY), "session"), "session")

@@ -59,18 +59,39 @@ def tool_words(name: Column) -> Column:
     return (F.size(words) > 0) & F.forall(words, lambda w: F.lower(w).isin(*sorted(TOOL_TERMS)))
 
 
-def find_many(texts: DataFrame, batch: str, text: str = "text", known: DataFrame | None = None, names: NameDetector = N.context_names) -> DataFrame:
+MOST_NAMES = 2000  # names a batch may carry to each of its texts; a batch with more goes by the words of its texts
+
+
+def _known(found: DataFrame, names: DataFrame, text: str, most: int) -> DataFrame:
+    """``found`` (with ``__batch``) and ``__known``: the names of its batch that its text may hold.
+
+    A batch of at most ``most`` names gives all of them to every text. In a larger one a text gets the names whose last
+    word it holds, by an equi-join on batch and word, so no set grows with the batch.
+    """
+    counts = names.groupBy("__batch").agg(F.count("*").alias("__n"))
+    sets = names.join(counts.where(F.col("__n") <= most), "__batch").groupBy("__batch").agg(F.collect_set("name").alias("__few"))
+    large = counts.where(F.col("__n") > most).select("__batch")
+    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
+    by_word = names.join(large, "__batch").select("__batch", "name", F.try_element_at(words(F.col("name")), F.lit(-1)).alias("__w"))
+    holding = found.join(large, "__batch").select("__batch", F.sha2(text, 256).alias("__h"), F.explode(F.array_distinct(words(F.col(text)))).alias("__w")).distinct()
+    many = holding.join(by_word, ["__batch", "__w"]).groupBy("__batch", "__h").agg(F.collect_set("name").alias("__many"))
+    out = found.withColumn("__h", F.sha2(text, 256)).join(sets, "__batch", "left").join(many, ["__batch", "__h"], "left")
+    return out.withColumn("__known", F.coalesce("__few", "__many")).drop("__few", "__many", "__h")
+
+
+def find_many(texts: DataFrame, batch: str, text: str = "text", known: DataFrame | None = None, names: NameDetector = N.context_names, most: int = MOST_NAMES) -> DataFrame:
     """``with_spans``, and every name found in a batch, or known for it, wherever it stands again in that batch.
 
-    ``known``: the batch key and ``name``. A batch's distinct names meet its texts in one join on the batch key; the
-    texts themselves are not grouped, so a batch of any number of texts stays spread over the partitions.
+    ``known``: the batch key and ``name``. Names meet the texts in joins on the batch key; the texts themselves are not
+    grouped, so a batch of any number of texts stays spread over the partitions. Rows of a null batch share names too.
     """
-    found = with_spans(texts, text, names=names)
-    own = found.where(F.exists("spans", lambda s: s["kind"] == "person_name")).select(F.col(batch).alias("__batch"), F.explode(S.spellings(F.col(text), F.col("spans"))).alias("name"))
+    found = with_spans(texts, text, names=names).withColumn("__batch", F.coalesce(F.concat(F.lit("="), F.col(batch).cast("string")), F.lit(""))).persist()
+    found.count()  # detection is the costly part: done once, and kept for the three readers below
+    own = found.where(F.exists("spans", lambda s: s["kind"] == "person_name")).select("__batch", F.explode(S.spellings(F.col(text), F.col("spans"))).alias("name"))
     if known is not None:
-        own = own.unionByName(known.where(~tool_words(F.col("name"))).select(F.col(batch).alias("__batch"), "name"))
-    sets = own.groupBy("__batch").agg(F.collect_set("name").alias("__known"))
-    joined = found.join(sets, found[batch].eqNullSafe(sets["__batch"]), "left").drop("__batch")
+        key = F.coalesce(F.concat(F.lit("="), F.col(batch).cast("string")), F.lit(""))
+        own = own.unionByName(known.where(~tool_words(F.col("name"))).select(key.alias("__batch"), "name"))
+    joined = _known(found, own.distinct(), text, most).drop("__batch")
 
     @F.pandas_udf(S.SPANS)
     def shared(values: pd.Series, spans: pd.Series, sets_: pd.Series) -> pd.Series:
