@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,21 +157,28 @@ def audit(records: DataFrame, groups: list[str], text: str = "text", spans: str
 def bootstrap(counts: DataFrame, unit: str, draws: int = 1000, seed: int = 20261006) -> DataFrame:
     """95 % interval of F1 per model by resampling units; ``counts``: model, unit, ``exact``, ``gold``, ``predicted``.
 
-    Per model the units' counts are first summed in Spark. All models draw the same units, each by its place in the
-    order of units. A model's matrix (three numbers a unit) must fit a task's memory.
+    A unit's weight in a draw is a Poisson number from a seed of its own, which for many units is resampling with
+    replacement; so every model draws the same units, tasks need no others' rows, and only sums per model and draw are
+    shuffled. Null units are left out.
     """
-    units = counts.groupBy("model", unit).agg(*(F.sum(c).alias(c) for c in ("exact", "gold", "predicted")))
-
-    def interval(group: pd.DataFrame) -> pd.DataFrame:
-        m = group.sort_values(unit)[["exact", "gold", "predicted"]].to_numpy(dtype=float)
-        rng = np.random.default_rng(seed)
-        sums = np.array([m[rng.integers(0, len(m), len(m))].sum(axis=0) for _ in range(draws)])
-        whole = sums[:, 1] + sums[:, 2]
-        f1 = np.divide(2 * sums[:, 0], whole, out=np.zeros(draws), where=whole > 0)
-        low, high = np.quantile(f1, [0.025, 0.975])
-        return pd.DataFrame({"model": [group["model"].iloc[0]], "low": [low], "high": [high]})
-
-    return units.groupBy("model").applyInPandas(interval, "model string, low double, high double")
+    units = counts.where(F.col(unit).isNotNull()).groupBy("model", F.col(unit).cast("string").alias("unit")).agg(*(F.sum(c).cast("double").alias(c) for c in ("exact", "gold", "predicted")))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            values = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], axis=1) if b.num_rows else np.zeros((0, 3))
+            for model, name, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), values, strict=True):
+                weights = np.random.default_rng([seed, zlib.crc32(name.encode())]).poisson(1.0, draws)
+                held.setdefault(model, np.zeros((draws, 3)))
+                held[model] += weights[:, None] * row
+        for model, total in held.items():
+            columns = [pa.array([model] * draws, pa.string()), pa.array(range(draws), pa.int32()), *(pa.array(total[:, i]) for i in range(3))]
+            yield pa.record_batch(columns, names=["model", "draw", "exact", "gold", "predicted"])
+
+    partial = units.select("model", "unit", "exact", "gold", "predicted").mapInArrow(sums, "model string, draw int, exact double, gold double, predicted double")
+    totals = partial.groupBy("model", "draw").agg(*(F.sum(c).alias(c) for c in ("exact", "gold", "predicted")))
+    f1 = F.coalesce(ratio(2 * F.col("exact"), F.col("gold") + F.col("predicted")), F.lit(0.0))
+    return totals.groupBy("model").agg(F.percentile(f1, 0.025).alias("low"), F.percentile(f1, 0.975).alias("high"))
 
 
 # --- samples -----------------------------------------------------------------------------------------------------------
