@@ -27,7 +27,6 @@ LOOKALIKES = {
     # Armenian
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "ք": "p", "զ": "q",
 }
-LOOKALIKE_TABLE = str.maketrans(LOOKALIKES)
 
 # Characters that show nothing and those that show a space.
 INVISIBLE = frozenset(
@@ -35,7 +34,6 @@ INVISIBLE = frozenset(
     "⁦⁧⁨⁩︎️﻿"
 )
 SPACES = frozenset("               　")
-ODD_TABLE = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES}
 
 _ASCII_LEVEL = {i: (chr(i).lower() if chr(i).isalnum() else None) for i in range(128)}
 

@@ -43,9 +43,8 @@ _HASHTAG = re.compile(r"(?<!\w)#\w+")
 _PRICE = re.compile(r"\d+[.,]\d{2} ?[€$£]|[€$£] ?\d+|★|☆|\bSKU\b|\b-\d+ ?%|-\d{1,2} %")
 _TECHNICAL = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[\[{}\]<]|[-drwx]{10}\s|#!|import |def |return |class |\$ |\+ |@@|commit [0-9a-f]|[\w.\-]+/[\w./\-]+(?::|$))|[=;{}]\s*$|\w=\S|\"\s*:|^\s*[\w.-]+:\s*\S*\s*$|^\s*</?\w+[^>]*>.*</\w+>\s*$|\S+@\S+\s*[|;,\t]|\bdef \w+\(|^\s*(?:SELECT|INSERT|CREATE|UPDATE|export|git|curl|make|set) ")
 _SENTENCES = re.compile(r"(?<=[.!?…])[\"»”)]*\s+")
-_SEPARATORS = re.compile(r"[·|/,>•;»–~+]| - ")
 
-NAMES = ("sentence", "keyword", "link", "tag", "technical", "stuffed", "function", "shop", "repeats", "distinct", "links", "hashtags", "separators", "prices", "digits", "line", "size")
+NAMES = ("sentence", "keyword", "link", "tag", "technical", "stuffed", "function", "shop", "repeats", "distinct", "links", "hashtags", "separators", "prices", "digits", "line", "size", "filler")
 _SHOP_PHRASES = re.compile(r"\b(?:pas cher|en ligne|near me)\b")
 _COUNTS = re.compile(r"\(\d+\)")
 _ROW = re.compile(r"[;|\t]")
@@ -98,13 +97,15 @@ def features(text: str) -> list[float]:
     content = [w for w in words if w not in FUNCTION]
     size = max(len(content), 1)
     pairs = Counter(zip(content, content[1:], strict=False)).values()
-    # words of pairs that come again and again, over all content words: high where sentences are stuffed
-    stuffed = min(1.0, 2 * sum(c for c in pairs if c >= 4) / size)
+    # words, or pairs of them, that come again and again, over all content words: high where sentences are stuffed
+    heavy = sum(c for c in Counter(content).values() if c >= 6 and c > 0.2 * size)
+    stuffed = min(1.0, max(2 * sum(c for c in pairs if c >= 4), 1.5 * heavy) / size)
+    filler = (shares["keyword"] + shares["link"] + shares["tag"] + (shares["sentence"] * stuffed if stuffed > 0.5 else 0)) / total
     links = text.count("://") + text.count("<a ") + (len(_URL.findall(text)) if shares["link"] else 0)
     return [
         *(shares[k] / total for k in NAMES[:5]), stuffed, (n - len(content)) / n, sum(map(SHOP.__contains__, content)) / size, sum(c for c in pairs if c >= 3) / size,
         len(set(content)) / size, links / n, text.count("#") / n, (sum(map(text.count, "·|/,>•;»–~+")) + text.count(" - ")) / n,
-        (len(_PRICE.findall(text)) if shares["tag"] else 0) / lines, 1 - len(text.translate(_NO_DIGITS)) / max(len(text), 1), math.log1p(total / lines), math.log1p(total),
+        (len(_PRICE.findall(text)) if shares["tag"] else 0) / lines, 1 - len(text.translate(_NO_DIGITS)) / max(len(text), 1), math.log1p(total / lines), math.log1p(total), filler,
     ]
 
 
@@ -116,7 +117,7 @@ def weak_label(f: list[float] | np.ndarray) -> int | None:
         return 0
     if bad > 0.6 and (x["shop"] > 0.08 or x["links"] > 0.04 or x["hashtags"] > 0.2 or x["prices"] > 0.4 or x["separators"] > 0.2 or x["repeats"] > 0.3):
         return 1
-    if x["stuffed"] > 0.5 and x["repeats"] > 0.25:
+    if x["stuffed"] > 0.5 and (x["repeats"] > 0.25 or x["filler"] > 0.7):
         return 1
     if bad < 0.4 and x["stuffed"] < 0.4 and x["repeats"] < 0.25:
         return 0

@@ -54,7 +54,7 @@ def _grown(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, l
 class Bag:
     """Trees on bootstrap samples of the rows; a prediction is the mean of the trees' leaf shares."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 6, least: int = 3, seed: int = 5) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 6, least: int = 3, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.constant = float(y.mean()) if len(y) else 0.0
         self.trees: list[Tree] = []
