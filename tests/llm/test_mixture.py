@@ -46,7 +46,7 @@ def _documents(spark, n: int):
 def test_shares(spark, monkeypatch, block: int) -> None:
     monkeypatch.setattr(M, "BLOCK", block)
     documents = _documents(spark, 1500)
-    targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.5, 2), ("rare", 0.1, 4), ("gone", 0.2, 2)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.5, 2), ("rare", 0.1, 4), ("gone", 0.2, 2), ("other", None, 3)], "source string, target_share double, max_repeats int")
     taken = M.mixture(documents, targets, "doc_id", "source", "tokens").cache()
     rows = {r["source"]: r for r in M.shares(taken, targets).collect()}
     total = sum(r["tokens"] for r in rows.values())

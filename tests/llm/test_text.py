@@ -215,3 +215,19 @@ def test_spam_pages(spark) -> None:
     assert all((got[i] > 0.5) == (k in bad) for i, k in enumerate(list(PAGES) * 12))
     assert got[900] == got[901] == got[902] == 0 and None not in got
     assert Sp.scored(frame.where("false"), "doc_id", "text", "origin").count() == 0
+
+
+# --- very long texts -----------------------------------------------------------------------------------------------------
+def test_long_texts(spark) -> None:
+    import time
+
+    began = time.time()
+    secret = "DB_PASSWORD='Lake-Tower4821'"
+    text = (PROSE + "\n") * 300 + secret + "\n" + "x" * 200_000 + "\n" + "Contact : Ann Roy <ann.roy@acme.example>\n" * 3000
+    assert [text[s:e] for s, e in S.Finder()(text)] == ["Lake-Tower4821"]
+    found = P.Found(text).sure
+    assert sum(k == "email" for k, *_ in found) == sum(k == "person_name" for k, *_ in found) == 3000
+    assert len(Sp.features(text)) == len(Sp.NAMES)
+    one_line = json.dumps({"a": [secret + ";"] * 500 + [PROSE * 100]})
+    assert len(S.Finder()(one_line)) >= 500
+    assert time.time() - began < 60

@@ -140,7 +140,8 @@ def word_lexicon(spark: SparkSession, documents: DataFrame, text: str, vocabular
 def encoded(documents: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``key``, ``ids`` (array<int>) and ``n_ids`` of every row, without special tokens.
 
-    A text that spells a special token is ordinary text. Null, empty: an empty list. Repeated keys and texts are kept
+    A text that spells a special token is ordinary text. Null, empty: an empty list. Very long
+    texts and words are encoded whole; pairs of equal rank are merged from the left. Repeated keys and texts are kept
     row by row; a null key stays null. An empty table gives no rows. Other columns are ignored.
     """
     path = f"{tokenizers}/{vocabulary}"

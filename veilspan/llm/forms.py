@@ -161,7 +161,7 @@ def suspects(records: DataFrame, key: str, text: str) -> DataFrame:
 def odd_records(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Distinct ``key`` of the records whose text holds a character that stands for another or cannot be seen.
 
-    Null and empty texts hold none; null keys are left out. Repeated rows add nothing. An empty table gives no rows.
+    Null and empty texts hold none, very long ones are read whole; null keys are left out. Repeated rows add nothing. An empty table gives no rows.
     Other columns are ignored.
     """
     found = suspects(records, key, text).where("id is not null").select("id", "sure", F.explode_outer(F.when(~F.col("sure"), F.col("words"))).alias("word"))

@@ -69,9 +69,10 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str, source: str, tok
     ``documents`` has one row per document; ``targets`` is the small table of ``source``, ``target_share`` and
     ``max_repeats`` (one row per source, so its size is that of the list of sources). Documents of null or unlisted
     sources, and without tokens (null, empty texts), are never taken. Repeated sources in ``targets``: the largest
-    share counts. The same rows give the same mixture, however they are partitioned. An empty table gives no rows.
+    share counts; a null share or cap counts as 0, and such a source is not taken. Very long texts are sizes like any
+    other; documents of equal size are told apart by a hash of their keys. The same rows give the same mixture, however they are partitioned. An empty table gives no rows.
     """
-    listed = {r["source"]: (r["share"], r["most"]) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).collect()}
+    listed = {r["source"]: (r["share"], r["most"]) for r in targets.where("source is not null").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("most")).collect()}
     rows = documents.select(F.col(key).cast("string").alias("__key"), F.col(key).alias("__id"), F.col(source).alias("source"), F.col(tokens).cast("long").alias("tokens"))
     rows = rows.where((F.col("tokens") > 0) & F.col("source").isin([*listed]))
     sums = {r["source"]: (r["tokens"], r["n"]) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}  # one row per source

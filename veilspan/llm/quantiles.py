@@ -45,7 +45,7 @@ def usable(value: Column) -> Column:
 def summaries(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], k: int = K) -> DataFrame:
     """Per group the summary of each column: ``groups``, and for a column c ``c_sketch`` binary and ``c_n`` bigint.
 
-    Nulls are in no summary; a group without values has an empty summary and n 0. Null group keys form their own
+    Equal values count as often as they come; repeated rows count again. Nulls are in no summary; a group without values has an empty summary and n 0. Null group keys form their own
     group. An empty table gives no rows. Columns that are not named are ignored.
     """
     kinds = dict(rows.dtypes)
@@ -84,7 +84,9 @@ def observations(spark: SparkSession, directory: str) -> DataFrame:
         "obs_id", "id", "model", length_band(F.col("characters"), F.col("length_band")).alias("length_band"), F.to_date("run_at").alias("day"),
         usable(F.col("elapsed_ms")).alias("elapsed_ms"), "characters",
     )
-    return rows.dropDuplicates(["obs_id"]).drop("obs_id")
+    # rows without an obs_id count once each, unless they are the same in every column
+    alone = F.when(F.col("obs_id").isNull(), F.xxhash64(*rows.columns))
+    return rows.withColumn("__alone", alone).dropDuplicates(["obs_id", "__alone"]).drop("obs_id", "__alone")
 
 
 def p6_percentiles(spark: SparkSession, directory: str) -> DataFrame:

@@ -54,7 +54,7 @@ def stable_sample(records: DataFrame, key: str, fraction: float = FRACTION, buck
     """Distinct chosen keys: ``key``, ``bucket``, ``rank`` (place of the bucket in the order).
 
     ``buckets`` takes that many buckets of the order, else ``fraction`` of all buckets is taken. Keys repeated in
-    several rows or batches come out once; null keys never; ties cannot occur. An empty table gives an empty sample.
+    several rows or batches come out once, very long ones like any other; null keys never; ties cannot occur. An empty table gives an empty sample.
     Other columns of the table, whatever their names, are ignored.
     """
     taken = round(fraction * 16**digits) if buckets is None else buckets

@@ -303,7 +303,8 @@ def findings(events: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``key``, ``field_name``, ``secret``, ``start``, ``end`` (in the leaf) and ``leaf`` (its number) of each credential.
 
     ``fields`` hold JSON. Null, empty and broken JSON (a payload cut off) gives no rows; a null key is kept. Repeated
-    rows give repeated findings. An empty table gives no rows. Other columns are ignored.
+    rows give repeated findings; of readings that score alike the first label wins. Very long texts are read line by
+    line, whole. An empty table gives no rows. Other columns are ignored.
     """
     crf = model()
     kind = events.schema[key].dataType.simpleString()

@@ -144,7 +144,7 @@ def _logit(p: Column) -> Column:
 def scored(documents: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """``key``, ``page`` (the trees' score), ``host_rate`` and ``score`` (page score smoothed by the host's rate).
 
-    Null, empty and blank texts score 0. A null host smooths nothing. Null keys are left out. Repeated rows are
+    Null, empty and blank texts score 0; very long ones are read whole; a score of exactly one half is no spam. A null host smooths nothing. Null keys are left out. Repeated rows are
     scored row by row, and count so in their host's rate. An empty table gives no rows. Other columns are ignored.
     """
     bag = fitted(documents, key, text)
