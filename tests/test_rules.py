@@ -133,4 +133,5 @@ def test_windows_and_labels() -> None:
 
 def test_shell() -> None:
     assert ends_early("make; exit 1") and ends_early("set -e\nls") and not ends_early("echo 'exit 1'") and not ends_early("exit 0")
+    assert not ends_early("cat <<-'EOF'\nexit 1\n\tEOF\nls") and not ends_early("cat <<EOF\nexit 1") and ends_early("cat <<EOF\nx\nEOF\nexit 1") and not ends_early("cat <<EOF\nEOF\nls")
     assert not ends_early("cat <<EOF\nexit 1\nEOF\nls") and ends_early("throw 'x'", "PowerShell") and ends_early("gc x -ErrorAction Stop", "PowerShell")
