@@ -56,6 +56,17 @@ def test_pairs_against_brute_force(spark, monkeypatch, hot: int) -> None:
     assert len(got) >= 0.97 * len(want)
 
 
+def test_hot_segments_lose_no_pair(spark, monkeypatch) -> None:
+    r = random.Random(7)
+    text = " ".join(r.choice(WORDS) for _ in range(40))
+    q, c = (spark.createDataFrame([(f"{side}{i}", noisy(text, r, 0.06)) for i in range(40)], "id string, text string") for side in "qc")
+    links = []
+    for hot in (10**9, 3):
+        monkeypatch.setattr(O, "HOT", hot)
+        links.append({tuple(x) for x in O.cross_split_classes(q, c)[0].collect()})
+    assert len(links[0]) > 500 and links[0] == links[1]
+
+
 def test_hot_copies_and_empty_tables(spark) -> None:
     text = " ".join(WORDS) + " once more " + " ".join(reversed(WORDS))
     q = spark.createDataFrame([(f"q{i}", text) for i in range(300)], "id string, text string")

@@ -12,9 +12,8 @@ scanning noise of 8 % of the characters moves a quarter of the global bits, so t
 equal, while clean runs of characters remain.
 
 Copies are one class by the digest of their level form, so a text that fills a third of the rows costs one class.
-A segment that more than ``HOT`` rows of the second side share (a stock phrase) is joined with one of the four
-16-bit blocks of the global code as a second key, so that no segment brings more than ``HOT`` candidates for a row
-unless they also agree in a block.
+A segment that more than ``HOT`` classes of the second side share (a stock phrase) is split into parts of about
+``HOT`` classes, and each row of the first side is joined with every part: the work is spread and no pair is left out.
 """
 
 from __future__ import annotations
@@ -175,16 +174,17 @@ def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
         near = (F.bit_count(F.col("x.whole").bitwiseXOR(F.col("y.whole"))) <= RADIUS) & (shorter >= F.lit(SIMILARITY) * longer)
         return x.join(y, same & near & (F.col("x.cls") != F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
-    def blocks(x: DataFrame) -> DataFrame:
-        cut = [F.shiftrightunsigned("whole", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) + (i << 16) for i in range(4)]
-        return x.select("*", F.explode(F.array(*cut)).alias("block"))
-
-    counted = b.withColumn("n", F.count("*").over(Window.partitionBy("code")))
+    # One exchange by code serves the deduplication, the count and the join.
+    counted = b.repartition("code").dropDuplicates(["code", "cls"]).withColumn("n", F.count("*").over(Window.partitionBy("code")))
     hot = counted.where(F.col("n") > HOT)
+    cold = pairs(a, counted.where(F.col("n") <= HOT), ["code"])
     if hot.isEmpty():  # a job of its own over the smaller side: else the larger side would be read again for nothing
-        return pairs(a, b, ["code"])
-    of_hot = a.join(hot.select("code").distinct(), "code", "left_semi")
-    return pairs(a, counted.where(F.col("n") <= HOT), ["code"]).unionByName(pairs(blocks(of_hot), blocks(hot), ["code", "block"]))
+        return cold
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    split = hot.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    every = hot.groupBy("code").agg(F.max(parts).alias("parts"))
+    copied = a.join(every, "code").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cold.unionByName(pairs(copied, split, ["code", "part"]))
 
 
 def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
