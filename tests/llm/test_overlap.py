@@ -56,6 +56,32 @@ def test_pairs_against_brute_force(spark, monkeypatch, hot: int) -> None:
     assert len(got) >= 0.97 * len(want)
 
 
+def at_band(r: random.Random, low: int, high: int, least: float, most: float, n: int) -> list[tuple[str, str]]:
+    """Pairs of levelled texts of ``low`` to ``high`` characters whose similarity lies in the band."""
+    out: list[tuple[str, str]] = []
+    while len(out) < n:
+        a = "".join(r.choice(WORDS) for _ in range(high // 4))[: r.randrange(low, high)]
+        b = noisy(a, r, r.uniform(0.08, 0.3))
+        if least * max(len(a), len(b)) <= O.common(a, b) < most * max(len(a), len(b)):
+            out.append((a, b))
+    return out
+
+
+LENGTHS = [(5, 15), (15, 30), (30, 60), (60, 110), (110, 220), (220, 400), (400, 1000), (1000, 1500)]
+
+
+@pytest.mark.parametrize("low,high", LENGTHS)
+@pytest.mark.parametrize("least,most", [(0.8, 0.85), (0.85, 0.9), (0.9, 1.0)])
+def test_segments_by_band(low: int, high: int, least: float, most: float) -> None:
+    pairs = at_band(random.Random(low), low, high, least, most, 60)
+    segments = []
+    for side in zip(*pairs, strict=True):
+        owner, code = O.fingerprints(list(side))[-2:]
+        segments.append(set(zip(owner.tolist(), code.tolist(), strict=True)))
+    found = {i for i, _ in segments[0] & segments[1]}
+    assert len(found) >= 0.95 * len(pairs)
+
+
 def test_hot_segments_lose_no_pair(spark, monkeypatch) -> None:
     r = random.Random(7)
     text = " ".join(r.choice(WORDS) for _ in range(40))

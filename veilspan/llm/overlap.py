@@ -3,7 +3,8 @@
 Each text is levelled (case, spacing, punctuation, accents, look-alikes) and gets bit fingerprints:
 
 * a 64-bit similarity hash of its character 4-grams (the global code), and
-* segment codes: 64-bit codes of windows of the levelled text that start at content-chosen anchors.
+* segment codes: 64-bit codes of the windows of the levelled text at every position, the longer the text the longer.
+  Texts under 15 characters have the codes of their subsequences instead, which finds every pair of them.
 
 Candidates are texts of different splits that share one segment code and whose global codes lie within a Hamming
 radius; a second code of 64 bits, kept with the level form, narrows them to a radius of the two together, and the
@@ -19,6 +20,8 @@ A segment that more than ``HOT`` classes of the second side share (a stock phras
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,8 @@ from veilspan.llm.batches import sliced
 from veilspan.llm.characters import level
 from veilspan.sources.tables import table
 
-WINDOW = 20
-SHORT_WINDOW = 10
-SHORT = 140
-ANCHOR_EVERY = 12
-SHORT_EVERY = 3
+#: (least length of the longer text, length of the windows): the longest windows that pairs at four fifths still share.
+GRADES = ((15, 4), (30, 6), (60, 8), (110, 9), (220, 11), (400, 13), (1000, 14), (4000, 18))
 RADIUS = 20
 RADIUS_BOTH = 46
 SIMILARITY = 0.8
@@ -89,22 +89,37 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(texts)), lengths)
     left = np.repeat(ends, lengths) - np.arange(n)
-    h1 = np.concatenate([chars + np.uint64(1), np.zeros(WINDOW, dtype=np.uint64)])
+    h1 = np.concatenate([chars + np.uint64(1), np.zeros(GRADES[-1][1], dtype=np.uint64)])
     h2 = _grown(h1, 1, h1, 1)
     h4 = _grown(h2, 2, h2, 2)
     h8 = _grown(h4, 4, h4, 4)
     h16 = _grown(h8, 8, h8, 8)
-    codes = {SHORT_WINDOW: _grown(h8, 8, h2, 2), WINDOW: _grown(h16, 16, h4, 4)}
     mixed = _mix(h4[:n])
     whole, more = (_similarity_hash(h, ends - lengths, np.maximum(lengths - 3, 1)) for h in (mixed, _mix(mixed + _BASE)))
 
-    def chosen(size: int, every: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(mixed % np.uint64(every) == 0)
-        at = at[(left[at] >= size) & which[owner[at]]]
-        return owner[at], _mix(codes[size][at] + np.uint64(size))
-
-    parts = [chosen(WINDOW, ANCHOR_EVERY, lengths > SHORT * SIMILARITY), chosen(SHORT_WINDOW, SHORT_EVERY, lengths < SHORT)]
-    return whole, more, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    def rolled(size: int) -> np.ndarray:
+        out, done = None, 0
+        for more, h in ((16, h16), (8, h8), (4, h4), (2, h2), (1, h1)):
+            if size & more:
+                out, done = h if out is None else _grown(out, done, h, more), done + more
+        return out
+
+    few = [(i, code) for i in np.flatnonzero(lengths < GRADES[0][0]) for code in _deletions(texts[i])]
+    owners, codes = [np.array([i for i, _ in few], dtype=np.int64)], [np.array([c for _, c in few], dtype=np.int64).view(np.uint64)]
+    for (least, size), (end, _) in zip(GRADES, [*GRADES[1:], (np.inf, 0)], strict=True):
+        # The longer text of a pair has the length of the grade, the shorter one at least SIMILARITY times that.
+        at = np.flatnonzero(((lengths >= SIMILARITY * least) & (lengths < end))[owner] & (left >= size))
+        if len(at):
+            owners.append(owner[at])
+            codes.append(_mix(rolled(size)[at] + np.uint64(size)))
+    return whole, more, np.concatenate(owners), np.concatenate(codes)
+
+
+def _deletions(text: str) -> set[int]:
+    """Codes of the subsequences that a text shares with every one it agrees with in four fifths, for very short texts."""
+    most = GRADES[0][0] - 1
+    sizes = {math.ceil(SIMILARITY * n) for n in range(len(text), most + 1) if len(text) >= SIMILARITY * n}
+    return {digest("".join(x)) for size in sizes for x in itertools.combinations(text, size)}
 
 
 PREPARED = "id string, cls long, flat string, whole long, more long, size int, codes array<long>"
