@@ -82,6 +82,22 @@ def test_segments_by_band(low: int, high: int, least: float, most: float) -> Non
     assert len(found) >= 0.95 * len(pairs)
 
 
+def test_very_short_texts(spark) -> None:
+    pairs = [("dupont", "dupnt"), ("marie", "mrie"), ("abcdefghi", "abcdfghi"), ("abcde", "vwxyz")]
+    q, c = (spark.createDataFrame([(f"{side}{i}", p[at]) for i, p in enumerate(pairs)], "id string, text string") for at, side in enumerate("qc"))
+    links, a, b = O.cross_split_classes(q, c)
+    got = {(x["qid"], x["cid"]) for x in links.join(a.selectExpr("cls as a", "id as qid"), "a").join(b.selectExpr("cls as b", "id as cid"), "b").collect()}
+    assert got == {(f"q{i}", f"c{i}") for i in range(3)}
+
+
+def test_pairs_at_four_fifths(spark) -> None:
+    pairs = [p for low, high in LENGTHS[1:7] for p in at_band(random.Random(low), low, high, 0.8, 0.85, 15)]
+    q, c = (spark.createDataFrame([(f"{side}{i}", p[at]) for i, p in enumerate(pairs)], "id string, text string") for at, side in enumerate("qc"))
+    links, a, b = O.cross_split_classes(q, c)
+    got = {(x["qid"], x["cid"]) for x in links.join(a.selectExpr("cls as a", "id as qid"), "a").join(b.selectExpr("cls as b", "id as cid"), "b").collect()}
+    assert len({x for x in got if x[0][1:] == x[1][1:]}) >= 0.97 * len(pairs)
+
+
 def test_hot_segments_lose_no_pair(spark, monkeypatch) -> None:
     r = random.Random(7)
     text = " ".join(r.choice(WORDS) for _ in range(40))

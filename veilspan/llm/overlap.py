@@ -1,16 +1,12 @@
 """Problem 1: same or near-same records across splits.
 
-Each text is levelled (case, spacing, punctuation, accents, look-alikes) and gets bit fingerprints:
+Each text is levelled (case, spacing, punctuation, accents, look-alikes) and gets segment codes: 64-bit codes of the
+windows of the levelled text at every position, the longer the text the longer. Texts under 15 characters have the
+codes of their subsequences instead, which finds every pair of them.
 
-* a 64-bit similarity hash of its character 4-grams (the global code), and
-* segment codes: 64-bit codes of the windows of the levelled text at every position, the longer the text the longer.
-  Texts under 15 characters have the codes of their subsequences instead, which finds every pair of them.
-
-Candidates are texts of different splits that share one segment code and whose global codes lie within a Hamming
-radius; a second code of 64 bits, kept with the level form, narrows them to a radius of the two together, and the
-longest common subsequence confirms them exactly. Segments replace blocks of the global code because
-scanning noise of 8 % of the characters moves a quarter of the global bits, so that no selective block of them stays
-equal, while clean runs of characters remain.
+Candidates are texts of different splits that share one segment code and whose lengths allow four fifths; the longest
+common subsequence confirms them exactly. A similarity hash of the whole text bounds nothing here: a radius that keeps
+every pair at four fifths (60 of 128 bits) also keeps about nine tenths of the other candidates.
 
 Copies are one class by the digest of their level form, so a text that fills a third of the rows costs one class.
 A segment that more than ``HOT`` classes of the second side share (a stock phrase) is split into parts of about
@@ -35,13 +31,10 @@ from veilspan.sources.tables import table
 
 #: (least length of the longer text, length of the windows): the longest windows that pairs at four fifths still share.
 GRADES = ((15, 4), (30, 6), (60, 8), (110, 9), (220, 11), (400, 13), (1000, 14), (4000, 18))
-RADIUS = 20
-RADIUS_BOTH = 46
 SIMILARITY = 0.8
 HOT = 500
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,28 +55,11 @@ def _grown(h: np.ndarray, n: int, more: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def _similarity_hash(grams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per text the majority of every bit of its grams' hashes.
-
-    Eight byte-wide counters share one 64-bit word, so sums run over pieces of at most 255 grams.
-    """
-    pieces = -(-lengths // 255)
-    first = np.cumsum(pieces) - pieces
-    within = np.arange(pieces.sum()) - np.repeat(first, pieces)
-    cuts = np.repeat(starts, pieces) + 255 * within
-    votes = np.empty((len(lengths), 64), dtype=np.int32)
-    for byte in range(8):
-        words = _SPREAD[(grams >> np.uint64(8 * byte)).astype(np.uint8)]
-        counts = np.add.reduceat(words, cuts).view(np.uint8).reshape(-1, 8)
-        votes[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > lengths[:, None], axis=1).view(np.uint64).ravel()
-
-
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of levelled texts that are not empty: (global code, second code of each; text index, code of each segment)."""
+def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of levelled texts that are not empty: (text index, code) of each segment."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     if not len(texts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     n = len(chars)
     ends = np.cumsum(lengths)
@@ -94,8 +70,6 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     h4 = _grown(h2, 2, h2, 2)
     h8 = _grown(h4, 4, h4, 4)
     h16 = _grown(h8, 8, h8, 8)
-    mixed = _mix(h4[:n])
-    whole, more = (_similarity_hash(h, ends - lengths, np.maximum(lengths - 3, 1)) for h in (mixed, _mix(mixed + _BASE)))
 
     def rolled(size: int) -> np.ndarray:
         out, done = None, 0
@@ -112,7 +86,7 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         if len(at):
             owners.append(owner[at])
             codes.append(_mix(rolled(size)[at] + np.uint64(size)))
-    return whole, more, np.concatenate(owners), np.concatenate(codes)
+    return np.concatenate(owners), np.concatenate(codes)
 
 
 def _deletions(text: str) -> set[int]:
@@ -122,7 +96,7 @@ def _deletions(text: str) -> set[int]:
     return {digest("".join(x)) for size in sizes for x in itertools.combinations(text, size)}
 
 
-PREPARED = "id string, cls long, flat string, whole long, more long, size int, codes array<long>"
+PREPARED = "id string, cls long, flat string, size int, codes array<long>"
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +110,15 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if c is not None and c not in seen:
                 seen.add(c)
                 first.append(i)
-        whole, more, owner, code = fingerprints([flat[i] for i in first])
-        n, at = len(flat), np.array(first, dtype=np.int64)
-        wholes, mores, counts = (np.zeros(n, dtype=np.int64) for _ in range(3))
-        wholes[at], mores[at] = whole.view(np.int64), more.view(np.int64)
-        counts[at] = np.bincount(owner, minlength=len(first)) if len(first) else 0
+        owner, code = fingerprints([flat[i] for i in first])
+        counts = np.zeros(len(flat), dtype=np.int64)
+        counts[np.array(first, dtype=np.int64)] = np.bincount(owner, minlength=len(first)) if len(first) else 0
         ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         codes = pa.ListArray.from_arrays(ends, pa.array(code[np.argsort(owner, kind="stable")].view(np.int64)))
         new = set(first)
         flats = pa.array([t if i in new else None for i, t in enumerate(flat)], pa.string())
         sizes = pa.array(list(map(len, flat)), pa.int32())
-        yield pa.record_batch([batch.column("id"), pa.array(cls, pa.int64()), flats, pa.array(wholes), pa.array(mores), sizes, codes], names=["id", "cls", "flat", "whole", "more", "size", "codes"])
+        yield pa.record_batch([batch.column("id"), pa.array(cls, pa.int64()), flats, sizes, codes], names=["id", "cls", "flat", "size", "codes"])
 
 
 def common(a: str, b: str, least: float = 0.0) -> int:
@@ -178,7 +150,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of classes that share a segment code and lie within the Hamming radius and the bounds of length."""
+    """Pairs of classes that share a segment code and lie within the bounds of length."""
 
     def pairs(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
@@ -186,7 +158,7 @@ def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
         for k in keys:
             same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
         longer, shorter = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
-        near = (F.bit_count(F.col("x.whole").bitwiseXOR(F.col("y.whole"))) <= RADIUS) & (shorter >= F.lit(SIMILARITY) * longer)
+        near = shorter >= F.lit(SIMILARITY) * longer
         return x.join(y, same & near & (F.col("x.cls") != F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
     # One exchange by code serves the deduplication, the count and the join.
@@ -216,14 +188,13 @@ def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame,
     rows = [x.where("id is not null").mapInArrow(_prepared, PREPARED).where("cls is not null").persist() for x in (first, second)]
     for x in rows:
         x.count()  # else the readers, which start together, would each fill the cache for themselves
-    a, b = (x.select(F.explode("codes").alias("code"), "cls", "whole", "size") for x in rows)
+    a, b = (x.select(F.explode("codes").alias("code"), "cls", "size") for x in rows)
     candidates = _candidates(a, b).distinct()
-    flats = [x.where("flat is not null").groupBy("cls").agg(F.first(F.struct("flat", "whole", "more")).alias("t")) for x in rows]
-    left = flats[0].select(F.col("cls").alias("a"), F.col("t").alias("t_a"))
-    right = flats[1].select(F.col("cls").alias("b"), F.col("t").alias("t_b"))
-    apart = F.bit_count(F.col("t_a.whole").bitwiseXOR(F.col("t_b.whole"))) + F.bit_count(F.col("t_a.more").bitwiseXOR(F.col("t_b.more")))
-    near = candidates.join(right, "b").join(left, "a").where(apart <= RADIUS_BOTH)
-    checked = near.select("a", "b", F.col("t_a.flat").alias("flat_a"), F.col("t_b.flat").alias("flat_b")).mapInArrow(_confirmed, "a long, b long")
+    flats = [x.where("flat is not null").groupBy("cls").agg(F.first("flat").alias("flat")) for x in rows]
+    left = flats[0].select(F.col("cls").alias("a"), F.col("flat").alias("flat_a"))
+    right = flats[1].select(F.col("cls").alias("b"), F.col("flat").alias("flat_b"))
+    near = candidates.join(right, "b").join(left, "a")
+    checked = near.select("a", "b", "flat_a", "flat_b").mapInArrow(_confirmed, "a long, b long")
     members = [x.select("id", "cls").distinct() for x in rows]
     same = members[0].select("cls").distinct().join(members[1].select("cls").distinct(), "cls")
     return checked.unionByName(same.select(F.col("cls").alias("a"), F.col("cls").alias("b"))), members[0], members[1]
