@@ -124,6 +124,22 @@ def test_corpus_judges_names(spark) -> None:
     assert P.masked("Ivo, Ivo Kern", {"Ivo": "person_name", "Ivo Kern": "person_name"}) == "⟦PERSON⟧, ⟦PERSON⟧"
 
 
+def test_masked_responses_and_names_of_the_other_table(spark, tmp_path) -> None:
+    quality = [("q:1", "Hier soir, Ivone Kern est venue.", None), ("q:2", "Rien ici.", None)]
+    spark.createDataFrame(quality, "id string, text string, spans array<struct<kind:string,start:int,end:int>>").write.parquet(str(tmp_path / "quality.parquet"))
+    told = json.dumps({"mail": "a\té ivone.kern@example.org", "n": 3, "list": ["Madame Ivone Kern est là.", {"x": "Madame Ivone Kern, Madame Ivone Weber"}]})
+    events = [(1, told), (2, None), (3, '{"cut": "ivone.kern@exam')]
+    spark.createDataFrame(events, "event_id bigint, tool_response string").write.parquet(str(tmp_path / "tool_events.parquet"))
+    found = {tuple(r) for r in P.p5_found(spark, str(tmp_path)).collect()}
+    got = {(r["table_name"], r["id"]): r["text"] for r in P.p5_masked(spark, str(tmp_path)).collect()}
+    assert ("quality", "q:1", "person_name", "Ivone Kern") in found
+    assert got[("quality", "q:1")] == "Hier soir, ⟦PERSON⟧ est venue." and got[("quality", "q:2")] == "Rien ici."
+    response = json.loads(got[("tool_events", "1")])
+    assert response["mail"] == "a\té ⟦EMAIL⟧" and response["n"] == 3 and "⟦PERSON⟧" in response["list"][0]
+    assert not [v for t, k, _, v in found if v in (got[(t, k)] or "")]
+    assert got[("tool_events", "2")] is None and got[("tool_events", "3")] == events[2][1] and len(got) == 5
+
+
 def test_checksums() -> None:
     assert P.nir_valid("2 55 08 14 168 025 38") and not P.nir_valid("2 55 08 14 168 025 39") and P.nir_valid("1 55 08 2A 168 025 " + f"{97 - int('1550819168025') % 97:02d}")
     assert P.tax_valid("0000000511" + "000") and not P.tax_valid("0000000511001")

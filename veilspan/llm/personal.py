@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.batches import sliced
 from veilspan.llm.forms import ORDINARY, applied, character_edits, look_alikes
-from veilspan.llm.secrets import _parsed, leaves
+from veilspan.llm.secrets import _parsed, leaves, redacted_json
 from veilspan.sources.shared import shared_folder
 from veilspan.sources.tables import table
 
@@ -463,17 +463,30 @@ def personal_data(texts: DataFrame, gold: DataFrame | None = None) -> DataFrame:
 PLACEHOLDERS = {"person_name": "⟦PERSON⟧", "email": "⟦EMAIL⟧", "phone": "⟦PHONE⟧", "id_number": "⟦ID⟧", "postal_address": "⟦ADDRESS⟧"}
 
 
+def _pattern(values: dict[str, str]) -> re.Pattern:
+    """The places of ``values`` in a text, longest first."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(v) for v in sorted(values, key=lambda v: (-len(v), v)))})(?!\w)")
+
+
 def masked(text: str | None, values: dict[str, str]) -> str | None:
     """``text`` with each value of ``values`` (value to kind) replaced by the placeholder of its kind, longest first."""
     if not text or not values:
         return text
-    pattern = "|".join(re.escape(v) for v in sorted(values, key=lambda v: (-len(v), v)))
-    return re.sub(rf"(?<!\w)(?:{pattern})(?!\w)", lambda m: PLACEHOLDERS[values[m.group()]], text)
+    return _pattern(values).sub(lambda m: PLACEHOLDERS[values[m.group()]], text)
+
+
+def masked_json(raw: str | None, values: dict[str, str]) -> str | None:
+    """JSON with each value of ``values`` replaced in its string leaves; broken JSON is kept as it is."""
+    if not raw or not values or _parsed(raw) is None:
+        return raw
+    pattern = _pattern(values)
+    return redacted_json(raw, lambda t: [m.span() for m in pattern.finditer(t)], lambda v: PLACEHOLDERS[values[v]])
 
 
-def _texts(spark: SparkSession, directory: str) -> DataFrame:
+def _texts(spark: SparkSession, directory: str, empty: bool = False) -> DataFrame:
     quality = table(spark, directory, "quality", "id", "text").select(F.lit("quality").alias("table_name"), F.col("id").alias("record_key"), "text", F.lit(False).alias("is_json"))
-    events = table(spark, directory, "tool_events", "event_id", "tool_response").where("tool_response is not null")
+    events = table(spark, directory, "tool_events", "event_id", "tool_response")
+    events = events if empty else events.where("tool_response is not null")
     events = events.select(F.lit("tool_events").alias("table_name"), F.col("event_id").cast("string").alias("record_key"), F.col("tool_response").alias("text"), F.lit(True).alias("is_json"))
     return quality.unionByName(events)
 
@@ -484,19 +497,20 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p5_masked(spark: SparkSession, directory: str) -> DataFrame:
-    """``id`` and ``text`` of every quality record, its personal data replaced by typed placeholders."""
-    quality = table(spark, directory, "quality", "id", "text", "spans")
-    texts = quality.select(F.lit("quality").alias("table_name"), F.col("id").alias("record_key"), "text", F.lit(False).alias("is_json"))
-    found = personal_data(texts, gold_words(quality))
-    per_record = found.groupBy(F.col("record_key").alias("id")).agg(F.collect_list(F.struct("found_value", "kind")).alias("found"))
+    """``table_name``, ``id`` and ``text`` of every quality record and tool response, its personal data replaced by typed placeholders."""
+    texts = _texts(spark, directory, empty=True)
+    found = personal_data(texts, gold_words(table(spark, directory, "quality", "text", "spans")))
+    per_record = found.groupBy("table_name", "record_key").agg(F.sort_array(F.collect_list(F.struct("found_value", "kind"))).alias("found")).alias("p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            out = [masked(t, {x["found_value"]: x["kind"] for x in f or ()}) for t, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("id"), pa.array(out, pa.string())], names=["id", "text"])
+            columns = (batch.column(n).to_pylist() for n in ("text", "is_json", "found"))
+            out = [(masked_json if j else masked)(t, {x["found_value"]: x["kind"] for x in f or ()}) for t, j, f in zip(*columns, strict=True)]
+            yield pa.record_batch([batch.column("table_name"), batch.column("record_key"), pa.array(out, pa.string())], names=["table_name", "id", "text"])
 
-    rows = quality.select("id", "text").dropDuplicates(["id"]).join(per_record, "id", "left")
-    return rows.mapInArrow(run, "id string, text string")
+    rows = texts.dropDuplicates(["table_name", "record_key"]).alias("r")
+    same = (F.col("r.table_name") == F.col("p.table_name")) & F.col("r.record_key").eqNullSafe(F.col("p.record_key"))
+    return rows.join(per_record, same, "left").select("r.*", "p.found").mapInArrow(run, "table_name string, id string, text string")
 
 
 QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked}

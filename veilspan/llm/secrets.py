@@ -259,8 +259,8 @@ _LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\.|[^\\]", re.S)
 
 
-def redacted_json(raw: str, find: Callable[[str], list[tuple[int, int]]], replacement: str = REDACTION) -> str:
-    """``raw`` with the spans of its string leaves replaced; every other character stays as it is written."""
+def redacted_json(raw: str, find: Callable[[str], list[tuple[int, int]]], replacement: str | Callable[[str], str] = REDACTION) -> str:
+    """``raw`` with the spans of its string leaves replaced, by one text or by what a function makes of each; every other character stays as it is written."""
 
     def literal(m: re.Match) -> str:
         if m.group(2) is not None:
@@ -283,7 +283,7 @@ def redacted_json(raw: str, find: Callable[[str], list[tuple[int, int]]], replac
             where.append(at)
         out, at = [], 0
         for s, e in spans:
-            out += [inner[at : where[s]], replacement]
+            out += [inner[at : where[s]], replacement if isinstance(replacement, str) else replacement(text[s:e])]
             at = where[e]
         return f'"{"".join(out)}{inner[at:]}"'
 
