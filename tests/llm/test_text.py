@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veilspan.llm import encoding as En
+from veilspan.llm import forms as Fo
 from veilspan.llm import personal as P
 from veilspan.llm import secrets as S
 from veilspan.llm import spam as Sp
@@ -247,3 +248,9 @@ def test_long_texts(spark) -> None:
     one_line = json.dumps({"a": [secret + ";"] * 500 + [PROSE * 100]})
     assert len(S.Finder()(one_line)) >= 500
     assert time.time() - began < 60
+
+
+def test_dotless_letters_and_words_beyond_western_latin(spark) -> None:
+    rows = [("a", "La fın du jour"), ("b", "la fin du čas"), ("c", "un č\u0430s de plus"), ("d", "rien")]
+    records = spark.createDataFrame(rows, "id string, text string")
+    assert {r[0] for r in Fo.odd_records(records).collect()} == {"a", "c"}

@@ -23,11 +23,11 @@ from veilspan.llm.characters import INVISIBLE, LOOKALIKES, SPACES
 from veilspan.sources.tables import table
 
 #: Texts wholly of these characters need no repair; the test runs in the JVM.
-ORDINARY = r"^[\x00-\x7E¡-¬®-ſ‐-‖‘-„†-‧‰-″€]*$"
+ORDINARY = r"^[\x00-\x7E¡-¬®-İĲ-ſ‐-‖‘-„†-‧‰-″€]*$"
 # Kinds of compatibility forms that only look like the ordinary character.
 _FORMS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 _JOINER, _VARIATIONS = "‍", "︎️"
-_SUSPECT = re.compile(r"[^\x00-\x7E¡-¬®-ſ‐-‖‘-„†-‧‰-″€]")
+_SUSPECT = re.compile(r"[^\x00-\x7E¡-¬®-İĲ-ſ‐-‖‘-„†-‧‰-″€]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -149,7 +149,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     """``word``: every word of the texts that is written in Latin letters only, in lower case, once."""
     words = F.explode(F.split(F.lower(F.col(column)), r"[\s\d\p{Punct}«»’“”…–—°€]+"))
-    return texts.select(words.alias("word")).where(F.col("word").rlike(r"^[a-zà-öø-ÿœ]+$")).distinct()
+    return texts.select(words.alias("word")).where(F.col("word").rlike(r"^[\p{IsLatin}&&[^ıȷɐ-ʯᴀ-ᶿꜱ]]+$")).distinct()
 
 
 def suspects(records: DataFrame, key: str, text: str) -> DataFrame:
