@@ -108,9 +108,26 @@ def common_length(a: Column, b: Column) -> Column:
     return F.aggregate(F.coalesce(a, _empty()), F.lit(0), lambda acc, s: acc + F.aggregate(F.coalesce(b, _empty()), F.lit(0), lambda x, r: x + shared(s, r)))
 
 
+def characters(text: Column) -> Column:
+    """The text with four bytes a character, so that a slice of it costs its own length, wherever it lies."""
+    return F.encode(text, "UTF-32")
+
+
+def solid_length(chars: Column, start: Column, end: Column) -> Column:
+    """Number of characters between two offsets of ``characters(text)`` that are not white space."""
+    piece = F.decode(F.substring(chars, 4 * start + 1, 4 * F.greatest(end - start, F.lit(0))), "UTF-32")
+    return F.length(F.regexp_replace(piece, r"(?U)\s+", ""))
+
+
+def solid_total(chars: Column, islands: Column) -> Column:
+    """``solid_length`` over spans that do not overlap."""
+    return F.aggregate(islands, F.lit(0), lambda acc, s: acc + solid_length(chars, s["start"], s["end"]))
+
+
 def positions(text: Column, spans: Column) -> Column:
     """Distinct places of the characters covered that are not white space."""
-    run = lambda s: F.filter(F.sequence(s["start"], s["end"] - 1), lambda i: F.substring(text, i + 1, F.lit(1)).rlike(r"(?U)\S"))
+    chars = characters(text)
+    run = lambda s: F.filter(F.sequence(s["start"], s["end"] - 1), lambda i: solid_length(chars, i, i + 1) > 0)
     real = F.filter(F.coalesce(spans, _empty()), lambda s: s["end"] > s["start"])
     return F.array_distinct(F.flatten(F.transform(real, run)))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,37 +12,55 @@ from veilspan.functions import spans as S
 from veilspan.functions import validators as check
 from veilspan.operators import names as N
 from veilspan.operators.policy import redacts
-from veilspan.operators.rules import TOOL_TERMS, Span, drop_touching, personal_data, secrets, settle
+from veilspan.operators.rules import TOOL_NAME, Span, drop_touching, personal_data, secrets, settle, tool_vocabulary
 from veilspan.operators.tabular import tabular
 from veilspan.operators.tokens import PLACEHOLDER, PLACEHOLDER_JAVA
+from veilspan.sources.batches import sliced
+from veilspan.sources.shared import shared_folder
 
 NameDetector = Callable[[str], list[Span]]
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def detected(text: str | None, names: NameDetector = N.context_names) -> list[Span]:
-    """Secrets, then formatted and tabular data, then names; nothing that touches a placeholder."""
+def first_pass(text: str | None, names: NameDetector = N.context_names) -> list[Span]:
+    """Secrets, then formatted and tabular data, then names; nothing that touches a placeholder.
+
+    External markers are kept before each list yields to the ones before it, and names of tool words are none.
+    """
     if not text:
         return []
     kept = secrets(text)
-    kept = settle(kept + drop_touching(settle(personal_data(text) + tabular(text)), kept))
+    data = N.keep_markers(text, settle(personal_data(text) + tabular(text)), redacts)
+    kept = kept + drop_touching(data, kept)
     if N.name_gate(text):
-        kept = settle(kept + drop_touching(N.completed(text, names(text)), kept))
-    kept = N.keep_markers(text, kept, redacts)
-    return drop_touching(kept, [Span("token", *m.span()) for m in PLACEHOLDER.finditer(text)] if "⟦" in text else [])
+        people = [s for s in N.completed(text, names(text)) if not tool_vocabulary(text[s.start : s.end])]
+        kept = kept + drop_touching(N.keep_markers(text, people, redacts), kept)
+    held = [Span("token", *m.span()) for m in PLACEHOLDER.finditer(text)] if "⟦" in text else []
+    return drop_touching(sorted(kept, key=lambda s: s.start), held)
+
+
+def with_known(text: str | None, found: list[Span], known: Iterable[str]) -> list[Span]:
+    """The findings of a text and what known names add to them; external markers survive this too."""
+    return N.keep_markers(text, N.spread(text, found, known), redacts) if text else found
+
+
+def detected(text: str | None, names: NameDetector = N.context_names) -> list[Span]:
+    """The findings of one text, its own names wherever they stand again in it."""
+    found = first_pass(text, names)
+    return with_known(text, found, {text[s.start : s.end] for s in found if s.kind == "person_name"})
 
 
 def _array(rows: list[list[Span]]) -> pa.Array:
     return pa.array([[s._asdict() for s in r] for r in rows], _ARROW)
 
 
-def with_spans(texts: DataFrame, text: str = "text", out: str = "spans", names: NameDetector = N.context_names) -> DataFrame:
+def with_spans(texts: DataFrame, text: str = "text", out: str = "spans", names: NameDetector = N.context_names, find: Callable[[str | None, NameDetector], list[Span]] = detected) -> DataFrame:
     """All columns and ``out``, the findings of ``text`` in order. Null and empty texts have none."""
     at = texts.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = _array([detected(t, names) for t in b.column(at).to_pylist()])
+        for b in sliced(batches):
+            found = _array([find(t, names) for t in b.column(at).to_pylist()])
             yield pa.record_batch([*b.columns, found], names=[*b.schema.names, out])
 
     return texts.mapInArrow(run, f"{_ddl(texts)}, `{out}` {S.SPANS}")
@@ -54,9 +71,8 @@ def _ddl(frame: DataFrame) -> str:
 
 
 def tool_words(name: Column) -> Column:
-    """Whether every word of a name is a word of the tools, as ``rules.tool_vocabulary`` says."""
-    words = F.filter(F.split(name, r"(?U)[\s\-'’]+"), lambda w: w != "")
-    return (F.size(words) > 0) & F.forall(words, lambda w: F.lower(w).isin(*sorted(TOOL_TERMS)))
+    """Whether every word of a name is a word of the tools."""
+    return name.rlike(f"(?U){TOOL_NAME}")
 
 
 MOST_NAMES = 2000  # names a batch may carry to each of its texts; a batch with more goes by the words of its texts
@@ -85,29 +101,24 @@ def find_many(texts: DataFrame, batch: str, text: str = "text", known: DataFrame
     ``known``: the batch key and ``name``. Names meet the texts in joins on the batch key; the texts themselves are not
     grouped, so a batch of any number of texts stays spread over the partitions. Rows of a null batch share names too.
     """
-    found = with_spans(texts, text, names=names).withColumn("__batch", F.coalesce(F.concat(F.lit("="), F.col(batch).cast("string")), F.lit(""))).persist()
-    found.count()  # detection is the costly part: done once, and kept for the three readers below
+    shared_folder(texts.sparkSession)
+    key = F.coalesce(F.concat(F.lit("="), F.col(batch).cast("string")), F.lit(""))
+    # detection is the costly part: done once, and kept in the shared folder for the three readers below
+    found = with_spans(texts, text, names=names, find=first_pass).withColumn("__batch", key).checkpoint()
     own = found.where(F.exists("spans", lambda s: s["kind"] == "person_name")).select("__batch", F.explode(S.spellings(F.col(text), F.col("spans"))).alias("name"))
     if known is not None:
-        key = F.coalesce(F.concat(F.lit("="), F.col(batch).cast("string")), F.lit(""))
         own = own.unionByName(known.where(~tool_words(F.col("name"))).select(key.alias("__batch"), "name"))
     joined = _known(found, own.distinct(), text, most).drop("__batch")
 
-    @F.pandas_udf(S.SPANS)
-    def shared(values: pd.Series, spans: pd.Series, sets_: pd.Series) -> pd.Series:
-        patterns: dict[tuple, object] = {}
-        out = []
-        for t, s, k in zip(values, spans, sets_, strict=True):
-            old = [Span(x["kind"], int(x["start"]), int(x["end"])) for x in s]
-            if t and k is not None and len(k):
-                key = tuple(sorted(k))
-                if key not in patterns:
-                    patterns[key] = N.name_pattern(key)
-                old = N.spread(t, old, key, patterns[key])
-            out.append([x._asdict() for x in old])
-        return pd.Series(out)
-
-    return joined.withColumn("spans", shared(F.col(text), F.col("spans"), F.col("__known"))).drop("__known")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            rows = zip(columns[text].to_pylist(), columns["spans"].to_pylist(), columns["__known"].to_pylist(), strict=True)
+            columns["spans"] = _array([with_known(t, [Span(**x) for x in s], k or ()) for t, s, k in rows])
+            yield pa.record_batch([columns[c] for c in out], names=out)
+
+    out = [c for c in joined.columns if c != "__known"]
+    return joined.mapInArrow(run, _ddl(joined.select(*out)))
 
 
 # Native single rules: Java patterns, gated by a literal that every match holds.

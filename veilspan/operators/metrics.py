@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import spans as S
@@ -76,18 +73,23 @@ def exact_metrics(records: DataFrame, gold: str = "gold", predicted: str = "pred
 
     Spans count once per record, characters once per kind and record; blanks are no characters. Zero denominators give null.
     """
-    by_kind = lambda spans, k: F.filter(spans, lambda s: s["kind"] == k)
-    g, p = F.array_distinct(F.coalesce(F.col(gold), F.array().cast(S.SPANS))), F.array_distinct(F.coalesce(F.col(predicted), F.array().cast(S.SPANS)))
-    rows = records.select(*(groups or []), F.col(text).alias("t"), g.alias("g"), p.alias("p"))
-    t = F.col("t")
+    real = lambda spans: F.filter(F.array_distinct(F.coalesce(F.col(spans), F.array().cast(S.SPANS))), lambda s: s["kind"].isNotNull())
+    rows = records.select(*(groups or []), S.characters(F.col(text)).alias("t"), real(gold).alias("g"), real(predicted).alias("p"))
+    # characters are counted on disjoint intervals of one kind; those that two lists share follow from their union
     kinds = F.array_distinct(F.concat(F.transform("g", lambda s: s["kind"]), F.transform("p", lambda s: s["kind"])))
-    gc = F.flatten(F.transform(kinds, lambda k: F.transform(S.positions(t, by_kind(F.col("g"), k)), lambda i: F.struct(k.alias("k"), i.alias("i")))))
-    pc = F.flatten(F.transform(kinds, lambda k: F.transform(S.positions(t, by_kind(F.col("p"), k)), lambda i: F.struct(k.alias("k"), i.alias("i")))))
-    whole = F.filter("g", lambda s: F.size(F.array_except(S.positions(t, F.array(s)), S.positions(t, by_kind(F.col("p"), s["kind"])))) == 0)
+    by_kind = lambda *lists: F.flatten(F.transform(kinds, lambda k: S.merged(F.filter(S.union(*lists), lambda s: (s["kind"] == k) & (s["end"] > s["start"])))))
+    g, p = F.col("g"), F.col("p")
+    rows = rows.withColumns({"gi": by_kind(g), "pi": by_kind(p), "ui": by_kind(g, p)})
+    t = F.col("t")
+
+    def whole(s: Column) -> Column:
+        over = F.filter("pi", lambda r: (r["kind"] == s["kind"]) & S.overlap(r, s))
+        return F.aggregate(over, F.lit(0), lambda acc, r: acc + S.solid_length(t, F.greatest(r["start"], s["start"]), F.least(r["end"], s["end"]))) == S.solid_length(t, s["start"], s["end"])
+
     rows = rows.select(
-        *(groups or []), F.size("g").alias("gold"), F.size("p").alias("predicted"), F.size(F.array_intersect("g", "p")).alias("exact"), F.size(whole).alias("covered"),
-        F.size(gc).alias("gold_chars"), F.size(pc).alias("predicted_chars"), F.size(F.array_intersect(gc, pc)).alias("shared_chars"),
-    )
+        *(groups or []), F.size(g).alias("gold"), F.size(p).alias("predicted"), F.size(F.array_intersect(g, p)).alias("exact"), F.size(F.filter(g, whole)).alias("covered"),
+        *(S.solid_total(t, F.col(c)).alias(n) for c, n in (("gi", "gold_chars"), ("pi", "predicted_chars"), ("ui", "either"))),
+    ).withColumn("shared_chars", F.col("gold_chars") + F.col("predicted_chars") - F.col("either"))
     negative = F.col("gold") == 0
     sums = rows.groupBy(*(groups or [])).agg(
         *(F.sum(c).alias(c) for c in ("gold", "predicted", "exact", "covered", "gold_chars", "predicted_chars", "shared_chars")),
@@ -111,28 +113,66 @@ def masking_scores(records: DataFrame, true: str, predicted: str, task: str) ->
 
 
 def ranking(scores: DataFrame, published: DataFrame) -> DataFrame:
-    """The mean F2 over tasks, and its rank: one more than the published models that are better."""
+    """The mean F2 over tasks, and its rank: one more than the published models that are better. Only one-row tables are broadcast."""
     mean = scores.agg(F.avg("f2").alias("f2"))
-    return mean.join(F.broadcast(published.select(F.col("f2").alias("other"))), F.lit(True), "left").groupBy("f2").agg((F.count_if(F.col("other") > F.col("f2")) + 1).alias("rank"))
+    better = published.select(F.col("f2").alias("other")).join(F.broadcast(mean)).agg((F.count_if(F.col("other") > F.col("f2")) + 1).alias("rank"))
+    return mean.join(F.broadcast(better))
 
 
 def misses(gold: DataFrame, predicted: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """Gold spans by label as complete, partial or missed, after the characters that predictions of their kind cover."""
-    p = predicted.groupBy(key, "kind").agg(F.collect_list(F.struct("kind", "start", "end")).alias("p"))  # spans of one text
-    rows = gold.join(p, [key, "kind"], "left").join(texts.select(key, "text"), key)
-    want = S.positions(F.col("text"), F.array(F.struct("kind", "start", "end")))
-    have = S.positions(F.col("text"), F.coalesce(F.col("p"), F.array().cast(S.SPANS)))
-    shared = F.size(F.array_intersect(want, have))
-    outcome = F.when(shared == 0, "missed").when(shared == F.size(want), "complete").otherwise("partial")
+    islands = S.merged(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))))
+    p = predicted.groupBy(key, "kind").agg(islands.alias("p"))  # spans of one text
+    rows = gold.join(p, [key, "kind"], "left").join(texts.select(key, S.characters(F.col("text")).alias("t")), key)
+    over = F.filter(F.coalesce("p", F.array().cast(S.SPANS)), lambda r: (r["start"] < F.col("end")) & (F.col("start") < r["end"]))
+    have = F.aggregate(over, F.lit(0), lambda acc, r: acc + S.solid_length(F.col("t"), F.greatest(r["start"], F.col("start")), F.least(r["end"], F.col("end"))))
+    want = S.solid_length(F.col("t"), F.col("start"), F.col("end"))
+    outcome = F.when(have == 0, "missed").when(have == want, "complete").otherwise("partial")
     return rows.groupBy("source_label", outcome.alias("outcome")).agg(F.count("*").alias("spans"))
 
 
 # --- latency, bands, thresholds ----------------------------------------------------------------------------------------
+ACCURACY = 10_000
+
+
+def quantiles(rows: DataFrame, value: str, groups: list[str], asked: dict[str, tuple[float, bool]], accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantiles of groups of any size: ``groups``, ``n``, ``mean`` and, by name, each (share, interpolated).
+
+    An interpolated quantile lies between two ranks as the usual percentile does, another is the nearest-rank value. A
+    first pass makes a mergeable summary of every group, whose rank error is at most one in ``accuracy``; it brackets
+    each quantile. A second pass counts what lies under a bracket, and the values in it one by one: a bracket holds
+    about 8 in ``accuracy`` of the values (all of a small group), so no buffer grows with the group. Null keys are a
+    group. ``value`` must be finite and not null.
+    """
+    v, wide = F.col(value).cast("double"), 4 / accuracy
+    shares = [x for p, _ in asked.values() for x in (max(0.0, p - wide), min(1.0, p + wide))]
+    keyed = rows.select(*groups, v.alias("__v"))
+    summary = keyed.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"), F.percentile_approx("__v", shares, accuracy).alias("__b"))
+    one, other = keyed.alias("a"), summary.alias("b")
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    brackets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("__b")[2 * i].alias("lo"), F.col("__b")[2 * i + 1].alias("hi")) for i in range(len(asked)))))
+    near = one.join(other, same).select(*(f"a.{g}" for g in groups), "n", "__v", brackets.alias("q")).where(F.col("__v") <= F.col("q.hi"))
+    near = near.select(*groups, "n", "q.i", F.when(F.col("__v") >= F.col("q.lo"), F.col("__v")).alias("__v"))  # null: under the bracket
+    counts = near.groupBy(*groups, "n", "i", "__v").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*groups, "i").orderBy(F.col("__v").asc_nulls_first())))
+    n, at = F.col("n"), {}
+    for i, (name, (p, interpolated)) in enumerate(asked.items()):
+        place = F.lit(p) * (n - 1) if interpolated else F.greatest(F.ceil(F.lit(p) * n), F.lit(1)) - 1
+        low, high = (F.min(F.when((F.col("i") == i) & (F.col("upto") > r(place)), F.col("__v"))) for r in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        at[name] = low + part * (high - low) if interpolated else low
+    answers = upto.groupBy(*groups).agg(*(c.alias(k) for k, c in at.items()), F.max("n").alias("n"))
+    one, other = answers.alias("a"), summary.alias("b")
+    return one.join(other, same).select(*(f"a.{g}" for g in groups), "a.n", "b.mean", *(f"a.{k}" for k in asked))
+
+
 def latency(observations: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """Median, nearest-rank 95th percentile and mean of the finite values."""
     v = F.col(value)
     rows = observations.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return rows.groupBy(*groups).agg(F.count("*").alias("n"), F.percentile(v, 0.5).alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95"), F.avg(v).alias("mean"))
+    return quantiles(rows, value, groups, {"p50": (0.5, True), "p95": (0.95, False)})
 
 
 def length_band(characters: Column) -> Column:
@@ -154,28 +194,32 @@ def audit(records: DataFrame, groups: list[str], text: str = "text", spans: str
     )
 
 
-def bootstrap(counts: DataFrame, unit: str, draws: int = 1000, seed: int = 20261006) -> DataFrame:
+def bootstrap(counts: DataFrame, unit: str, draws: int = 1000, seed: int = 20261006, shards: int = 64) -> DataFrame:
     """95 % interval of F1 per model by resampling units; ``counts``: model, unit, ``exact``, ``gold``, ``predicted``.
 
-    A unit's weight in a draw is a Poisson number from a seed of its own, which for many units is resampling with
-    replacement; so every model draws the same units, tasks need no others' rows, and only sums per model and draw are
-    shuffled. Null units are left out.
+    A draw takes as many units as there are, with replacement, and every model the same ones. How many fall to each
+    shard of units is drawn first, from the ``shards`` sizes, then within a shard; so no task holds more than a shard
+    (a unit's counts by model), and only sums per model and draw are shuffled. Null units are left out.
     """
-    units = counts.where(F.col(unit).isNotNull()).groupBy("model", F.col(unit).cast("string").alias("unit")).agg(*(F.sum(c).cast("double").alias(c) for c in ("exact", "gold", "predicted")))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        for b in batches:
-            values = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], axis=1) if b.num_rows else np.zeros((0, 3))
-            for model, name, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), values, strict=True):
-                weights = np.random.default_rng([seed, zlib.crc32(name.encode())]).poisson(1.0, draws)
-                held.setdefault(model, np.zeros((draws, 3)))
-                held[model] += weights[:, None] * row
-        for model, total in held.items():
-            columns = [pa.array([model] * draws, pa.string()), pa.array(range(draws), pa.int32()), *(pa.array(total[:, i]) for i in range(3))]
-            yield pa.record_batch(columns, names=["model", "draw", "exact", "gold", "predicted"])
-
-    partial = units.select("model", "unit", "exact", "gold", "predicted").mapInArrow(sums, "model string, draw int, exact double, gold double, predicted double")
+    named = counts.where(F.col(unit).isNotNull()).select("model", F.col(unit).cast("string").alias("unit"), *(F.col(c).cast("double").alias(c) for c in ("exact", "gold", "predicted")))
+    units = named.groupBy("model", "unit").agg(*(F.sum(c).alias(c) for c in ("exact", "gold", "predicted"))).withColumn("shard", F.pmod(F.crc32("unit"), F.lit(shards)).cast("int"))
+    sizes = np.zeros(shards, dtype=np.int64)
+    for r in units.groupBy("shard").agg(F.count_distinct("unit").alias("n")).collect():  # at most ``shards`` rows
+        sizes[r["shard"]] = r["n"]
+    whole = max(1, int(sizes.sum()))
+    taken = np.random.default_rng(seed).multinomial(whole, sizes / whole, size=draws) if sizes.sum() else np.zeros((draws, shards), dtype=np.int64)
+
+    def sums(shard: pd.DataFrame) -> pd.DataFrame:
+        number = int(shard["shard"].iloc[0])
+        names = np.unique(shard["unit"])
+        weights = np.random.default_rng([seed, number]).multinomial(taken[:, number], np.full(len(names), 1 / len(names)))
+        out = []
+        for model, rows in shard.groupby("model", dropna=False):
+            drawn = weights[:, np.searchsorted(names, rows["unit"])] @ rows[["exact", "gold", "predicted"]].to_numpy()
+            out.append(pd.DataFrame({"model": model, "draw": np.arange(draws, dtype=np.int32), "exact": drawn[:, 0], "gold": drawn[:, 1], "predicted": drawn[:, 2]}))
+        return pd.concat(out)
+
+    partial = units.groupBy("shard").applyInPandas(sums, "model string, draw int, exact double, gold double, predicted double")
     totals = partial.groupBy("model", "draw").agg(*(F.sum(c).alias(c) for c in ("exact", "gold", "predicted")))
     f1 = F.coalesce(ratio(2 * F.col("exact"), F.col("gold") + F.col("predicted")), F.lit(0.0))
     return totals.groupBy("model").agg(F.percentile(f1, 0.025).alias("low"), F.percentile(f1, 0.975).alias("high"))
