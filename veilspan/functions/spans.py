@@ -119,11 +119,6 @@ def solid_length(chars: Column, start: Column, end: Column) -> Column:
     return F.length(F.regexp_replace(piece, r"(?U)\s+", ""))
 
 
-def solid_total(chars: Column, islands: Column) -> Column:
-    """``solid_length`` over spans that do not overlap."""
-    return F.aggregate(islands, F.lit(0), lambda acc, s: acc + solid_length(chars, s["start"], s["end"]))
-
-
 def positions(text: Column, spans: Column) -> Column:
     """Distinct places of the characters covered that are not white space."""
     chars = characters(text)

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.spans import SPANS
-from veilspan.operators.rules import Span
+from veilspan.operators.names import completed, plausible
+from veilspan.operators.rules import Span, tool_vocabulary
+from veilspan.sources.batches import sliced
 
 # Labels that are persons.
 PERSONS = frozenset({"PER", "PERSON", "GIVEN_NAME", "SURNAME"})
@@ -83,10 +85,24 @@ def best_alone(candidates: list[tuple[int, int, float]]) -> list[Span]:
     return sorted(out, key=lambda s: s.start)
 
 
-def with_model(texts: DataFrame, model: Callable[[], Callable[[list[str]], list[list[Span]]]], text: str = "text", out: str = "spans") -> DataFrame:
+Model = Callable[[list[str]], list[list[Span]]]
+
+
+def plausible_only(model: Model) -> Model:
+    """A model whose findings must look like names and are no words of tools; what is left is widened to whole words."""
+
+    def read(texts: list[str]) -> list[list[Span]]:
+        kept = ([s for s in found if plausible(t, s) and not tool_vocabulary(t[s.start : s.end])] for t, found in zip(texts, model(texts), strict=True))
+        return [completed(t, spans) for t, spans in zip(texts, kept, strict=True)]
+
+    return read
+
+
+def with_model(texts: DataFrame, model: Callable[[], Model], text: str = "text", out: str = "spans", size: int = 32) -> DataFrame:
     """Distinct texts through a model, loaded once per task, and joined back: equal texts are read once.
 
-    ``model()`` gives a function from texts to spans. The join is on the digest of the text.
+    ``model()`` gives a function from at most ``size`` texts to their spans; texts of like length come together, so
+    that padding is small. The join is on the digest of the text.
     """
     keyed = texts.withColumn("__h", F.sha2(F.col(text), 256))
     once = keyed.where(F.col(text).isNotNull()).dropDuplicates(["__h"]).select("__h", F.col(text).alias("__t"))
@@ -94,8 +110,13 @@ def with_model(texts: DataFrame, model: Callable[[], Callable[[list[str]], list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model()
-        for b in batches:
-            found = [[s._asdict() for s in spans] for spans in read(b.column("__t").to_pylist())]
+        for b in sliced(batches):
+            all_texts = b.column("__t").to_pylist()
+            found: list[list[dict]] = [[]] * len(all_texts)
+            order = sorted(range(len(all_texts)), key=lambda i: len(all_texts[i]))
+            for some in (order[i : i + size] for i in range(0, len(order), size)):
+                for i, spans in zip(some, read([all_texts[i] for i in some]), strict=True):
+                    found[i] = [s._asdict() for s in spans]
             yield pa.record_batch([b.column("__h"), pa.array(found, kind)], names=["__h", out])
 
     found = once.mapInArrow(run, f"__h string, {out} {SPANS}")

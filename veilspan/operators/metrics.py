@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import spans as S
+from veilspan.functions.coverage import coverage
 
 # Upper ends of the length bands.
 BANDS = ((128, "short_lt128"), (512, "medium_128_511"), (None, "long_ge512"))
@@ -73,23 +74,9 @@ def exact_metrics(records: DataFrame, gold: str = "gold", predicted: str = "pred
 
     Spans count once per record, characters once per kind and record; blanks are no characters. Zero denominators give null.
     """
-    real = lambda spans: F.filter(F.array_distinct(F.coalesce(F.col(spans), F.array().cast(S.SPANS))), lambda s: s["kind"].isNotNull())
-    rows = records.select(*(groups or []), S.characters(F.col(text)).alias("t"), real(gold).alias("g"), real(predicted).alias("p"))
-    # characters are counted on disjoint intervals of one kind; those that two lists share follow from their union
-    kinds = F.array_distinct(F.concat(F.transform("g", lambda s: s["kind"]), F.transform("p", lambda s: s["kind"])))
-    by_kind = lambda *lists: F.flatten(F.transform(kinds, lambda k: S.merged(F.filter(S.union(*lists), lambda s: (s["kind"] == k) & (s["end"] > s["start"])))))
-    g, p = F.col("g"), F.col("p")
-    rows = rows.withColumns({"gi": by_kind(g), "pi": by_kind(p), "ui": by_kind(g, p)})
-    t = F.col("t")
-
-    def whole(s: Column) -> Column:
-        over = F.filter("pi", lambda r: (r["kind"] == s["kind"]) & S.overlap(r, s))
-        return F.aggregate(over, F.lit(0), lambda acc, r: acc + S.solid_length(t, F.greatest(r["start"], s["start"]), F.least(r["end"], s["end"]))) == S.solid_length(t, s["start"], s["end"])
-
-    rows = rows.select(
-        *(groups or []), F.size(g).alias("gold"), F.size(p).alias("predicted"), F.size(F.array_intersect(g, p)).alias("exact"), F.size(F.filter(g, whole)).alias("covered"),
-        *(S.solid_total(t, F.col(c)).alias(n) for c, n in (("gi", "gold_chars"), ("pi", "predicted_chars"), ("ui", "either"))),
-    ).withColumn("shared_chars", F.col("gold_chars") + F.col("predicted_chars") - F.col("either"))
+    given = lambda spans: F.coalesce(F.col(spans), F.array().cast(S.SPANS))
+    rows = records.select(*(groups or []), coverage(F.col(text), given(gold), given(predicted)).alias("c"))
+    rows = rows.select(*(groups or []), *(f"c.{c}" for c in ("gold", "predicted", "exact", "covered", "gold_chars", "predicted_chars", "shared_chars")))
     negative = F.col("gold") == 0
     sums = rows.groupBy(*(groups or [])).agg(
         *(F.sum(c).alias(c) for c in ("gold", "predicted", "exact", "covered", "gold_chars", "predicted_chars", "shared_chars")),
@@ -121,12 +108,13 @@ def ranking(scores: DataFrame, published: DataFrame) -> DataFrame:
 
 def misses(gold: DataFrame, predicted: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """Gold spans by label as complete, partial or missed, after the characters that predictions of their kind cover."""
-    islands = S.merged(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))))
-    p = predicted.groupBy(key, "kind").agg(islands.alias("p"))  # spans of one text
-    rows = gold.join(p, [key, "kind"], "left").join(texts.select(key, S.characters(F.col("text")).alias("t")), key)
-    over = F.filter(F.coalesce("p", F.array().cast(S.SPANS)), lambda r: (r["start"] < F.col("end")) & (F.col("start") < r["end"]))
-    have = F.aggregate(over, F.lit(0), lambda acc, r: acc + S.solid_length(F.col("t"), F.greatest(r["start"], F.col("start")), F.least(r["end"], F.col("end"))))
-    want = S.solid_length(F.col("t"), F.col("start"), F.col("end"))
+    span = F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    p = predicted.groupBy(key).agg(F.collect_list(span).alias("p"))  # spans of one text
+    g = gold.groupBy(key).agg(F.collect_list(span).alias("g"), F.collect_list(F.struct("source_label")).alias("labels"))
+    rows = g.join(p, key, "left").join(texts.select(key, "text"), key)
+    rows = rows.select("labels", coverage(F.col("text"), F.col("g"), F.coalesce("p", F.array().cast(S.SPANS))).alias("c"))
+    rows = rows.select(F.explode(F.arrays_zip("labels", "c.want", "c.have")).alias("x")).select("x.labels.source_label", "x.want", "x.have")
+    want, have = F.col("want"), F.col("have")
     outcome = F.when(have == 0, "missed").when(have == want, "complete").otherwise("partial")
     return rows.groupBy("source_label", outcome.alias("outcome")).agg(F.count("*").alias("spans"))
 

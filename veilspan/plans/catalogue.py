@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.plans import core_queries
+from veilspan.plans import core_queries, form_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core_queries.QUERIES)
+    return core_queries.QUERIES | form_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core_queries.SQL)
+    return core_queries.SQL | form_queries.SQL

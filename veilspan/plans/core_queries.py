@@ -49,8 +49,10 @@ def email_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_collisions(spark: SparkSession, d: str) -> DataFrame:
-    rows = email_tokens(spark, d).select(F.lit("all").alias("session_id"), F.lit("email").alias("kind"), F.col("token").alias("token_id"), "value")
-    return V.collisions(rows)
+    """Ids cut to two digits, of which many stand for several values: the audit that a sound vault passes empty."""
+    inner, outer = T.pads(KEY)
+    short = T.token_id(F.col("value"), F.lit(inner), F.lit(outer), 2)
+    return V.collisions(email_values(spark, d).select(F.lit("all").alias("session_id"), F.lit("email").alias("kind"), short.alias("token_id"), "value"))
 
 
 def phone_values(spark: SparkSession, d: str) -> DataFrame:
@@ -58,54 +60,24 @@ def phone_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.explode(S.values(F.col("text"), D.phones(F.col("text")))).alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
-def card_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).where(F.col("text").rlike(r"\d(?:[ -]?\d){12}"))
-    return rows.select("doc_id", F.explode(S.values(F.col("text"), D.cards(F.col("text")))).alias("value"))
-
-
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    rows = spread(_documents(spark, d, "lang", "source", "origin")).withColumn("session", F.coalesce("origin", F.lit("none")))
-    return V.with_tokens(D.with_spans(rows), V.session_keys(rows, "session", KEY), "session")
-
-
 def masked_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its findings masked, and their number by kind."""
-    return V.protected(_items(spark, d)).select("doc_id", "text", "counts")
-
-
-def protection_summary(spark: SparkSession, d: str) -> DataFrame:
-    return V.summary(_items(spark, d), "source")
-
-
-def vault_values(spark: SparkSession, d: str) -> DataFrame:
-    return V.vault_rows(_items(spark, d), "session").groupBy("kind").agg(F.count("*").alias("values"), F.count_distinct("session_id").alias("sessions"))
-
-
-def restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with findings that can be restored, and how many of them come back as they were."""
-    items = _items(spark, d).where("size(items) > 0 and forall(items, i -> i.token_id is not null)")
-    masked = V.protected(items.withColumn("before", F.col("text"))).select("doc_id", "session", "before", "text")
-    back = V.restored(masked, V.vault_rows(items, "session"), "doc_id", "session")
-    return back.agg(F.count("*").alias("documents"), F.count_if(F.col("text") == F.col("before")).alias("restored"), F.count_if(F.col("text").contains("⟦")).alias("left_over"))
-
-
-def session_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names in tool responses that only their spreading within a session finds, by session."""
-    events = table(spark, d, "tool_events", "event_id", "session_id", "tool_response").dropDuplicates(["event_id"])
-    leaves = json_leaves(events.select(F.struct("event_id", "session_id").alias("k"), "tool_response"), "k", "tool_response")
-    rows = leaves.select(F.col("k.session_id").alias("session_id"), "text")
-    n = lambda c: F.sum(F.size(F.filter(c, lambda s: s["kind"] == "person_name")))
-    return D.find_many(rows, "session_id").groupBy("session_id").agg(n("spans").alias("names"))
+    rows = spread(_documents(spark, d, "origin")).withColumn("session", F.coalesce("origin", F.lit("none")))
+    items = V.with_tokens(D.with_spans(rows), V.session_pads(F.col("session"), KEY), "session")
+    return V.protected(items).select("doc_id", "text", "counts")
 
 
 def response_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings in the string leaves of tool responses by tool and kind."""
+    """Addresses and formatted numbers in the string leaves of tool responses by tool and kind, by the whole detector."""
     events = table(spark, d, "tool_events", "event_id", "tool_name", "tool_response").dropDuplicates(["event_id"])
     leaves = json_leaves(events.select(F.struct("event_id", "tool_name").alias("k"), "tool_response"), "k", "tool_response")
-    found = D.with_spans(leaves).select(F.col("k.tool_name").alias("tool_name"), F.explode("spans").alias("s"))
+    found = D.with_spans(leaves).select(F.col("k.tool_name").alias("tool_name"), F.explode("spans").alias("s")).where(F.col("s.kind").isin(*RESPONSE_KINDS))
     return found.groupBy("tool_name", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
+RESPONSE_KINDS = ("email", "private_key", "aws_access_key", "fr_license_plate", "fr_passport")
+
+
 def leaf_counts(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "tool_events", "event_id", "tool_name", "tool_input").dropDuplicates(["event_id"])
     leaves = json_leaves(events.select(F.struct("event_id", "tool_name").alias("k"), "tool_input"), "k", "tool_input")
@@ -146,8 +118,8 @@ def eligible_models(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uncovered_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Records that no observation names, and observed ids that are no record."""
-    records = table(spark, d, "quality", "id").unionByName(table(spark, d, "warmup", "id"))
+    """Gold records that no observation names (calibration is not timed), and observed ids that are no gold record."""
+    records = table(spark, d, "quality", "id").unionByName(table(spark, d, "calibration", "id"))
     return M.key_coverage(records, table(spark, d, "timing", "id"), "id")
 
 
@@ -256,8 +228,7 @@ def redelivered_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        masked_documents, email_values, email_counts_by_lang, masked_emails, email_tokens, token_collisions, phone_values, card_values, protection_summary, vault_values, restore_roundtrip,
-        session_names, response_findings, leaf_counts, document_reads, restorable_paths, refused_writes, length_bands, latency_by_model, eligible_models, uncovered_keys, hash_sample, hash_tenths,
+        masked_documents, email_values, email_counts_by_lang, masked_emails, email_tokens, token_collisions, phone_values, response_findings, leaf_counts, document_reads, restorable_paths, refused_writes, length_bands, latency_by_model, eligible_models, uncovered_keys, hash_sample, hash_tenths,
         record_audit, unseen_records, exact_span_metrics, span_character_metrics, masking_f2, interval_hits, miss_outcomes, merged_spans, bootstrap_f1, word_window_counts, newest_sessions, event_sessions,
         repeated_texts, redelivered_events,
     )
@@ -292,8 +263,8 @@ SQL = {
     "email_counts_by_lang": f"""select d.lang, cast(coalesce(sum(n), 0) as bigint) as emails, count(n) as documents from documents d
       left join (select doc_id, count(*) as n from ({_EMAILS}) group by doc_id) e on d.doc_id = e.doc_id where d.text like '%@%' group by d.lang""",
     "email_tokens": f"select distinct value, '⟦EMAIL:' || {_HMAC} || '⟧' as token from ({_EMAILS})",
-    "token_collisions": f"""select 'all' as session_id, 'email' as kind, token as token_id, count(distinct value) as "values"
-      from (select value, '⟦EMAIL:' || {_HMAC} || '⟧' as token from ({_EMAILS})) group by token having count(distinct value) > 1""",
+    "token_collisions": f"""select 'all' as session_id, 'email' as kind, token_id, count(distinct value) as "values"
+      from (select value, substr({_HMAC}, 1, 2) as token_id from ({_EMAILS})) group by token_id having count(distinct value) > 1""",
     "masked_emails": rf"""select doc_id, masked as text from (select doc_id, text, regexp_replace(text, '(^|[^\pL\pN_.%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})', '\1⟦EMAIL:REDACTED⟧', 'g') as masked
       from documents where text like '%@%') where masked <> text""",
     "phone_values": rf"""select doc_id, value, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '{_RE_PHONE}', 1)) as value from documents where text is not null) group by doc_id, value""",
@@ -305,6 +276,14 @@ SQL = {
       from (select tool_name, case when json_valid(tool_input) then tool_input end as i from {_EVENTS}) group by tool_name""",
     "leaf_counts": f"""select tool_name, count(*) as leaves, cast(sum(length(t.atom ->> '$')) as bigint) as characters
       from {_EVENTS} e, json_tree(e.tool_input) as t where t.type = 'VARCHAR' and json_valid(e.tool_input) group by tool_name""",
+    "response_findings": rf"""with raw as (select tool_name, t.atom ->> '$' as t from {_EVENTS} e, json_tree(e.tool_response) as t where t.type = 'VARCHAR' and json_valid(e.tool_response)),
+      leaves as (select tool_name, regexp_replace(t, '([a-z][a-z0-9+.-]*://[^\s:/@]*:)[^\s/@⟦⟧$]{{3,}}@', '\1 ', 'g') as text from raw),
+      found as (select tool_name, unnest(list_concat([{{'kind': 'email', 'v': v}} for v in regexp_extract_all({_WIDE}, '{_RE_EMAIL}', 1)],
+        [{{'kind': 'private_key', 'v': v}} for v in regexp_extract_all(text, '-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----')],
+        [{{'kind': 'aws_access_key', 'v': v}} for v in regexp_extract_all(text, '\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b')],
+        [{{'kind': 'fr_license_plate', 'v': v}} for v in regexp_extract_all(text, '\b[A-HJ-NP-TV-Z]{{2}}[- ]\d{{3}}[- ][A-HJ-NP-TV-Z]{{2}}\b')],
+        [{{'kind': 'fr_passport', 'v': v}} for v in regexp_extract_all(text, '\b\d{{2}}[A-Z]{{2}}\d{{5}}\b')])) as x from leaves)
+      select tool_name, x.kind as kind, count(*) as n from found group by all""",
     "restorable_paths": rf"""select event_id, name, regexp_matches(lower(name), '^\.env($|\.)|.\.({'|'.join(P.RESTORABLE_SUFFIXES)})$') as restorable
       from (select event_id, regexp_extract(json_extract_string(tool_input, '$.file_path'), '[^/\\]*$') as name from {_EVENTS} where json_valid(tool_input)) where name is not null""",
     "refused_writes": f"""select event_id, tool_name from {_EVENTS} where tool_name in ('Write', 'Edit') and json_valid(tool_input)
@@ -313,7 +292,7 @@ SQL = {
     "latency_by_model": """select model, count(*) as n, round(quantile_cont(elapsed_ms, 0.5), 6) as p50, quantile_disc(elapsed_ms, 0.95) as p95, round(avg(elapsed_ms), 6) as mean
       from (select * from timing qualify row_number() over (partition by obs_id order by recorded_at) = 1) where elapsed_ms >= 0 and isfinite(elapsed_ms) group by model""",
     "eligible_models": "select model, licence from models where active and licence in ('MIT', 'Apache-2.0')",
-    "uncovered_keys": """with r as (select id from quality union select id from warmup), t as (select distinct id from timing)
+    "uncovered_keys": """with r as (select id from quality union select id from calibration), t as (select distinct id from timing)
       select id, 'prediction' as missing from r where id not in (select id from t where id is not null) union all select id, 'record' from t where id not in (select id from r where id is not null)""",
     "hash_sample": f"select id, dataset from (select distinct id, dataset from quality) order by sha256('{SEED}:calibration:' || id), id limit 100",
     "hash_tenths": """select cast(tenth as int) as tenth, count(*) as records from (select list_reduce(list_prepend(0, list_transform(range(1, 65), lambda i: cast(('0x' || substr(h, i, 1)) as int))), lambda a, d: (a * 16 + d) % 10) as tenth

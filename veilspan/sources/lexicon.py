@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+import itertools
 import re
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +30,45 @@ def _normal(values: pd.Series) -> pd.Series:
 
 def names(spark: SparkSession, path: str, column: str, kind: str, delimiter: str = ";") -> DataFrame:
     """``kind``, ``value``: distinct names of a delimited file in their normal form, without suppressed ones."""
-    rows = spark.read.csv(path, sep=delimiter, header=True).select(_normal(F.col(column)).alias("value"))
+    return _names(spark.read.csv(path, sep=delimiter, header=True), column, kind)
+
+
+def _names(raw: DataFrame, column: str, kind: str) -> DataFrame:
+    rows = raw.select(_normal(F.col(column)).alias("value"))
     return rows.where((F.col("value") != "") & ~F.col("value").startswith("_") & ~F.col("value").isin(*SUPPRESSED)).distinct().select(F.lit(kind).alias("kind"), "value")
 
 
+MOST_BYTES = 256 << 20
+
+
+def archived(spark: SparkSession, path: str, digest: str, column: str, kind: str, delimiter: str = ";", most: int = MOST_BYTES) -> DataFrame:
+    """``names`` of the one delimited file in a ZIP archive, which is opened only if its SHA-256 is ``digest``.
+
+    Refused, with an error in the task: another digest, more than one file, an archive or a file of more than ``most`` bytes.
+    """
+    archives = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for length, content in zip(batch.column("length").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if length > most or hashlib.sha256(content).hexdigest() != digest.lower():
+                    raise ValueError("the archive is not the one that was asked for")
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    inside = [e for e in archive.infolist() if not e.is_dir()]
+                    if len(inside) != 1 or inside[0].file_size > most:
+                        raise ValueError("the archive must hold one file of a bounded size")
+                    rows = csv.DictReader(io.TextIOWrapper(archive.open(inside[0]), "utf-8-sig", newline=""), delimiter=delimiter)
+                    while some := list(itertools.islice(rows, 50_000)):
+                        yield pa.record_batch([pa.array([r[column] for r in some], pa.string())], names=["raw"])
+
+    return _names(archives.mapInArrow(run, "raw string"), "raw", kind)
+
+
+def counts(lexicon: DataFrame) -> DataFrame:
+    """Distinct names by kind."""
+    return lexicon.groupBy("kind").agg(F.count_distinct("value").alias("names"))
+
+
 def contains(lexicon: DataFrame, most: int = MOST) -> Callable[[str, str], bool]:
     """Membership for detectors. The lexicon is counted first; one of more than ``most`` names is refused (see ``known_pairs``)."""
     n = lexicon.count()

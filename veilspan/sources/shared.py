@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -11,9 +12,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local.
+
+    On a cluster an unset folder is an error: a folder of one machine would lose or split what others read.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get(SETTING) or spark.conf.get(SETTING, None)
+    if not named and not sc.getCheckpointDir() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError(f"set {SETTING} to a folder that all machines share")
     if not named:
         named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='veilspan-')}"
     if not sc.getCheckpointDir():
