@@ -1,40 +1,50 @@
 """Problem 1: same or near-same records across splits.
 
-Each text is levelled (case, spacing, punctuation, accents, look-alikes) and gets segment codes: 64-bit codes of the
-windows of the levelled text at every position, the longer the text the longer. Texts under 15 characters have the
-codes of their subsequences instead, which finds every pair of them.
+Each text is levelled (case, spacing, punctuation, accents, look-alikes) and gets a similarity hash: its letters are
+counted in eight soft sections along the text, and each bit says on which side of a random plane the counts lie. Texts
+that agree in four fifths of their characters differ in few bits, since a letter that is lost or moved a little changes
+little; other texts of one language differ in about half of them.
 
-Candidates are texts of different splits that share one segment code and whose lengths allow four fifths; the longest
-common subsequence confirms them exactly. A similarity hash of the whole text bounds nothing here: a radius that keeps
-every pair at four fifths (60 of 128 bits) also keeps about nine tenths of the other candidates.
+Texts of different splits are joined on blocks of the hash (``TABLES`` segments of ``BLOCK`` bits each), a pair goes on
+if other ``FILTER`` bits lie within the Hamming ``RADIUS`` and the lengths allow four fifths, and the longest common
+subsequence confirms it exactly. Pairs of texts under ``LEAST`` characters, whose hashes say little, join on windows of
+characters at every position instead, under 15 characters on their subsequences.
 
 Copies are one class by the digest of their level form, so a text that fills a third of the rows costs one class.
-A segment that more than ``HOT`` classes of the second side share (a stock phrase) is split into parts of about
-``HOT`` classes, and each row of the first side is joined with every part: the work is spread and no pair is left out.
+Blocks are joined within buckets of the text's length, wide enough that every pair the lengths allow meets in one. A block that more than ``HOT`` classes of the second side share is split into parts of about ``HOT`` classes, and each
+row of the first side meets every part: the work is spread and no pair is left out. Nothing is kept between the passes:
+both read the texts anew, so a lost executor costs its tasks only.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm.batches import sliced
 from veilspan.llm.characters import level
+from veilspan.sources.shared import shared_folder
 from veilspan.sources.tables import table
 
-#: (least length of the longer text, length of the windows): the longest windows that pairs at four fifths still share.
-GRADES = ((15, 4), (30, 6), (60, 8), (110, 9), (220, 11), (400, 13), (1000, 14), (4000, 18))
+#: (least length of the longer text, length of the windows) of short texts.
+GRADES = ((15, 4), (30, 6))
+LEAST = 60
 SIMILARITY = 0.8
 HOT = 500
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+TABLES, BLOCK, FILTER, RADIUS = 28, 9, 128, 40
+SECTIONS, CLASSES = 8, 64
+KEPT = 1 << 18  # classes a task remembers to have met
+# How often the letters a to z stand in a thousand characters of French, English and German text.
+FREQUENCY = (81, 11, 30, 40, 150, 11, 14, 25, 75, 4, 5, 45, 28, 73, 56, 25, 6, 68, 70, 70, 50, 14, 8, 3, 5, 5)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -48,45 +58,86 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _grown(h: np.ndarray, n: int, more: np.ndarray, m: int) -> np.ndarray:
-    """Rolling codes of n + m characters from those of n and of m; the tail of the array is filled with zeros."""
-    out = h * np.uint64(pow(int(_BASE), m, 1 << 64))
-    out[: len(out) - n] += more[n:]
-    return out
+@functools.lru_cache(maxsize=1)
+def _planes() -> np.ndarray:
+    """The planes, in whole numbers: all sums stay under 2**53, so a hash is the same in every task, whatever the batch.
+
+    Each plane sums to nothing over the sections of a letter: how often a text has a letter in all says nothing, so that
+    the bits are even whatever the language; where it has it does.
+    """
+    rates = np.array([f / 1000 for f in FREQUENCY] + [0.004] * 10 + [0.001] * (CLASSES - 36))
+    planes = np.random.default_rng(7).normal(size=(FILTER + TABLES * BLOCK, SECTIONS, CLASSES)) * 100 / np.sqrt(rates)
+    return np.rint(planes - planes.mean(axis=1, keepdims=True)).reshape(len(planes), -1).T
+
+
+_LETTERS = np.arange(0x110000, dtype=np.uint32) % (CLASSES - 36) + 36
+_LETTERS[ord("a") : ord("z") + 1] = np.arange(26)
+_LETTERS[ord("0") : ord("9") + 1] = np.arange(26, 36)
 
 
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of levelled texts that are not empty: (text index, code) of each segment."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    if not len(texts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = len(chars)
-    ends = np.cumsum(lengths)
+def hashes(texts: list[str]) -> np.ndarray:
+    """Rows of FILTER + TABLES * BLOCK bits of levelled texts that are not empty."""
+    lengths = np.array(list(map(len, texts)), dtype=np.int64)
+    letters = _LETTERS[np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    left = np.repeat(ends, lengths) - np.arange(n)
-    h1 = np.concatenate([chars + np.uint64(1), np.zeros(GRADES[-1][1], dtype=np.uint64)])
-    h2 = _grown(h1, 1, h1, 1)
-    h4 = _grown(h2, 2, h2, 2)
-    h8 = _grown(h4, 4, h4, 4)
-    h16 = _grown(h8, 8, h8, 8)
-
-    def rolled(size: int) -> np.ndarray:
-        out, done = None, 0
-        for more, h in ((16, h16), (8, h8), (4, h4), (2, h2), (1, h1)):
-            if size & more:
-                out, done = h if out is None else _grown(out, done, h, more), done + more
-        return out
-
-    few = [(i, code) for i in np.flatnonzero(lengths < GRADES[0][0]) for code in _deletions(texts[i])]
-    owners, codes = [np.array([i for i, _ in few], dtype=np.int64)], [np.array([c for _, c in few], dtype=np.int64).view(np.uint64)]
-    for (least, size), (end, _) in zip(GRADES, [*GRADES[1:], (np.inf, 0)], strict=True):
+    at = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # sixteenths of a section; what lies between the middles of two sections counts for both
+    place = np.clip((2 * at + 1) * SECTIONS * 8 // lengths[owner] - 8, 0, 16 * (SECTIONS - 1))
+    low, part = place >> 4, place & 15
+    width = SECTIONS * CLASSES
+    cell = owner * width + low * CLASSES + letters
+    counts = np.bincount(cell, weights=16 - part, minlength=len(texts) * width + CLASSES)
+    counts += np.bincount(cell + CLASSES, weights=part, minlength=len(counts))[: len(counts)]
+    return counts[: len(texts) * width].reshape(len(texts), width) @ _planes() > 0
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 bits as signed numbers."""
+    return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _long(text: str) -> bool:
+    """Whether a text can be in a pair whose longer one has ``LEAST`` characters."""
+    return len(text) >= SIMILARITY * LEAST
+
+
+def filter_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of long texts: two numbers that hold the filter bits, and all bits."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FILTER + TABLES * BLOCK), dtype=bool)
+    bits = hashes(texts)
+    return _packed(bits[:, :64]), _packed(bits[:, 64:FILTER]), bits
+
+
+#: Logarithm of the ratio of lengths that a pair may have, with a little to spare, and the buckets of lengths, twice as wide.
+_REACH = -math.log(SIMILARITY) * (1 + 1e-9)
+
+
+def _buckets(length: int, wide: bool) -> range:
+    """The bucket of a text of the first side; of the second side, those that hold a partner's."""
+    at, reach = math.log(length), _REACH if wide else 0.0
+    return range(int((at - reach) // (2 * _REACH)), int((at + reach) // (2 * _REACH)) + 1)
+
+
+def block_codes(bits: np.ndarray, lengths: list[int], wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, code) of the blocks of long texts."""
+    if not len(bits):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blocks = np.stack([_packed(bits[:, FILTER + i * BLOCK : FILTER + (i + 1) * BLOCK]) + (i << 32) for i in range(TABLES)], axis=1)
+    places = [(i, n + 64) for i, length in enumerate(lengths) for n in _buckets(length, wide)]
+    owner, bucket = np.array(places, dtype=np.int64).T
+    codes = _mix((blocks[owner] + (bucket[:, None] << 44)).ravel().view(np.uint64)) >> np.uint64(20)
+    return np.repeat(owner, TABLES), codes.view(np.int64)
+
+
+def window_codes(text: str) -> set[int]:
+    """Of a text under ``LEAST`` characters: codes of its windows, or of its subsequences."""
+    found = _deletions(text) if len(text) < GRADES[0][0] else set()
+    for (least, size), end in zip(GRADES, [*(g for g, _ in GRADES[1:]), LEAST], strict=True):
         # The longer text of a pair has the length of the grade, the shorter one at least SIMILARITY times that.
-        at = np.flatnonzero(((lengths >= SIMILARITY * least) & (lengths < end))[owner] & (left >= size))
-        if len(at):
-            owners.append(owner[at])
-            codes.append(_mix(rolled(size)[at] + np.uint64(size)))
-    return np.concatenate(owners), np.concatenate(codes)
+        if SIMILARITY * least <= len(text) < end:
+            found |= {digest(text[j : j + size]) for j in range(len(text) - size + 1)}
+    return found
 
 
 def _deletions(text: str) -> set[int]:
@@ -96,29 +147,66 @@ def _deletions(text: str) -> set[int]:
     return {digest("".join(x)) for size in sizes for x in itertools.combinations(text, size)}
 
 
-PREPARED = "id string, cls long, flat string, size int, codes array<long>"
+KEYS = "code long, f long, g long"
+FORMS = "id string, cls long, f long, g long, flat string"
 
 
-def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class of every row; level form and segment codes only where a task meets the class for the first time."""
-    seen: set[int] = set()
+def _new(flats: list[str], seen: set[int]) -> list[str]:
+    """The texts a task meets for the first time; once it has met ``KEPT`` of them, it starts anew."""
+    new = []
+    for t in flats:
+        c = digest(t)
+        if c not in seen:
+            if len(seen) >= KEPT:
+                seen.clear()
+            seen.add(c)
+            new.append(t)
+    return new
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 1 << 20):
-        flat = [level(t) for t in batch.column("text").to_pylist()]
-        cls = [digest(t) if t else None for t in flat]
-        first = []
-        for i, c in enumerate(cls):
-            if c is not None and c not in seen:
-                seen.add(c)
-                first.append(i)
-        owner, code = fingerprints([flat[i] for i in first])
-        counts = np.zeros(len(flat), dtype=np.int64)
-        counts[np.array(first, dtype=np.int64)] = np.bincount(owner, minlength=len(first)) if len(first) else 0
-        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        codes = pa.ListArray.from_arrays(ends, pa.array(code[np.argsort(owner, kind="stable")].view(np.int64)))
-        new = set(first)
-        flats = pa.array([t if i in new else None for i, t in enumerate(flat)], pa.string())
-        sizes = pa.array(list(map(len, flat)), pa.int32())
-        yield pa.record_batch([batch.column("id"), pa.array(cls, pa.int64()), flats, sizes, codes], names=["id", "cls", "flat", "size", "codes"])
+        for at in range(0, batch.num_rows, 2048):
+            yield batch.slice(at, 2048)
+
+
+def keys_of(texts: list[str], wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, f, g) of levelled texts that are not empty: f and g hold the filter bits; beside a window, the class and -1."""
+    long = [t for t in texts if _long(t)]
+    f, g, bits = filter_bits(long)
+    owner, code = block_codes(bits, list(map(len, long)), wide)
+    small = [(c, digest(t)) for t in texts if len(t) < LEAST for c in sorted(window_codes(t))]
+    window, cls = np.array(small, dtype=np.int64).reshape(-1, 2).T
+    return np.concatenate([code, window]), np.concatenate([f[owner], cls]), np.concatenate([g[owner], np.full(len(cls), -1)])
+
+
+def _keys(wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The codes of each class, where a task meets it for the first time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in _parts(batches):
+            new = _new([t for t in map(level, batch.column("text").to_pylist()) if t], seen)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in keys_of(new, wide)], names=["code", "f", "g"])
+
+    return run
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class of every row with a text; level form and filter bits (null of short texts) where a task meets the class for the first time."""
+    seen: set[int] = set()
+    for batch in _parts(batches):
+        rows = [(i, t) for i, t in zip(batch.column("id").to_pylist(), map(level, batch.column("text").to_pylist()), strict=True) if t]
+        new = _new([t for _, t in rows], seen)
+        f, g, _ = filter_bits([t for t in new if _long(t)])
+        bits = dict(zip([t for t in new if _long(t)], zip(f.tolist(), g.tolist(), strict=True), strict=True))
+        left, out = set(new), []
+        for i, t in rows:
+            out.append((i, digest(t), *(bits.get(t, (None, None)) if t in left else (None, None)), t if t in left else None))
+            left.discard(t)
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "cls", "f", "g", "flat"])
 
 
 def common(a: str, b: str, least: float = 0.0) -> int:
@@ -137,10 +225,22 @@ def common(a: str, b: str, least: float = 0.0) -> int:
     return len(a) - v.bit_count()
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def _letters(text: str) -> Counter:
+    return Counter(text)
+
+
 def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether levelled texts agree, in order, in ``least`` of the characters of the longer one."""
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
-    return bool(shorter) and shorter >= least * longer and (a == b or common(a, b, least * longer) >= least * longer)
+    if not shorter or shorter < least * longer:
+        return False
+    if a == b:
+        return True
+    # no common subsequence holds more of a letter than both texts have
+    if (_letters(a) & _letters(b)).total() < least * longer:
+        return False
+    return common(a, b, least * longer) >= least * longer
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,29 +249,30 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+MOST_HOT = 200_000  # codes whose split is broadcast; more are joined
+
+
 def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of classes that share a segment code and lie within the bounds of length."""
-
-    def pairs(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
-        x, y = x.alias("x"), y.alias("y")
-        same: Column = F.lit(True)
-        for k in keys:
-            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-        longer, shorter = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
-        near = shorter >= F.lit(SIMILARITY) * longer
-        return x.join(y, same & near & (F.col("x.cls") != F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-
-    # One exchange by code serves the deduplication, the count and the join.
-    counted = b.repartition("code").dropDuplicates(["code", "cls"]).withColumn("n", F.count("*").over(Window.partitionBy("code")))
-    hot = counted.where(F.col("n") > HOT)
-    cold = pairs(a, counted.where(F.col("n") <= HOT), ["code"])
-    if hot.isEmpty():  # a job of its own over the smaller side: else the larger side would be read again for nothing
-        return cold
-    parts = F.ceil(F.col("n") / HOT).cast("int")
-    split = hot.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
-    every = hot.groupBy("code").agg(F.max(parts).alias("parts"))
-    copied = a.join(every, "code").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return cold.unionByName(pairs(copied, split, ["code", "part"]))
+    """Filter bits (af, ag, bf, bg) of texts that share a code and, but for windows, lie within the radius."""
+    shared_folder(a.sparkSession)
+    parts = F.ceil(F.col("count") / HOT).cast("int")
+    hot = b.groupBy("code").count().where(F.col("count") > HOT).select("code", parts.alias("parts")).checkpoint()
+    n = hot.count()  # counts of rows, copies in different tasks included, so a part is never above HOT classes by much
+    b = b.repartition("code").dropDuplicates(["code", "f", "g"])
+    keys = ["code"]
+    if n:
+        many = F.broadcast(hot) if n <= MOST_HOT else hot
+        parts = F.coalesce("parts", F.lit(1))
+        b = b.join(many, "code", "left").withColumn("part", F.pmod(F.xxhash64("f", "g"), parts).cast("int")).drop("parts")
+        a = a.join(many, "code", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        keys.append("part")
+    x, y = a.alias("x"), b.alias("y")
+    same: Column = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    apart = F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) + F.bit_count(F.col("x.g").bitwiseXOR(F.col("y.g")))
+    near = (F.col("x.g") == -1) & (F.col("y.g") == -1) | (apart <= RADIUS)
+    return x.join(y, same & near).select(F.col("x.f").alias("af"), F.col("x.g").alias("ag"), F.col("y.f").alias("bf"), F.col("y.g").alias("bg")).distinct()
 
 
 def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,19 +284,23 @@ def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame,
     Repeated rows add nothing. Empty tables give empty results. Other columns are ignored. Very long texts are compared
     whole: a pair costs time in the product of its lengths over the word size of the machine.
     """
-    first, second = (x.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")) for x in (first, second))
-    # One pass of Python over each side; kept, as segments, level forms and members are read apart.
-    rows = [x.where("id is not null").mapInArrow(_prepared, PREPARED).where("cls is not null").persist() for x in (first, second)]
-    for x in rows:
-        x.count()  # else the readers, which start together, would each fill the cache for themselves
-    a, b = (x.select(F.explode("codes").alias("code"), "cls", "size") for x in rows)
-    candidates = _candidates(a, b).distinct()
-    flats = [x.where("flat is not null").groupBy("cls").agg(F.first("flat").alias("flat")) for x in rows]
-    left = flats[0].select(F.col("cls").alias("a"), F.col("flat").alias("flat_a"))
-    right = flats[1].select(F.col("cls").alias("b"), F.col("flat").alias("flat_b"))
-    near = candidates.join(right, "b").join(left, "a")
+    sides = [x.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null") for x in (first, second)]
+    candidates = _candidates(*(x.select("text").mapInArrow(_keys(wide), KEYS) for x, wide in zip(sides, (False, True), strict=True)))
+    forms = [x.mapInArrow(_forms, FORMS) for x in sides]
+
+    def known(rows: DataFrame) -> DataFrame:
+        """Level forms by filter bits, and the short ones by class; one exchange serves the deduplication and the join."""
+        rows = rows.where("flat is not null").select("cls", "f", "g", "flat")
+        by_window = F.when(F.length("flat") < LEAST, F.struct(F.col("cls").alias("f"), F.lit(-1).cast("long").alias("g")))
+        ways = F.explode(F.array_compact(F.array(F.when(F.col("f").isNotNull(), F.struct("f", "g")), by_window)))
+        return rows.select("cls", "flat", ways.alias("w")).select("cls", "w.f", "w.g", "flat").repartition("f", "g").dropDuplicates(["f", "g", "cls"])
+
+    flats = list(map(known, forms))
+    left = flats[0].select(F.col("cls").alias("a"), F.col("f").alias("af"), F.col("g").alias("ag"), F.col("flat").alias("flat_a"))
+    right = flats[1].select(F.col("cls").alias("b"), F.col("f").alias("bf"), F.col("g").alias("bg"), F.col("flat").alias("flat_b"))
+    near = candidates.join(right, ["bf", "bg"]).join(left, ["af", "ag"]).where("a <> b")
     checked = near.select("a", "b", "flat_a", "flat_b").mapInArrow(_confirmed, "a long, b long")
-    members = [x.select("id", "cls").distinct() for x in rows]
+    members = [x.select("id", "cls").distinct() for x in forms]
     same = members[0].select("cls").distinct().join(members[1].select("cls").distinct(), "cls")
     return checked.unionByName(same.select(F.col("cls").alias("a"), F.col("cls").alias("b"))), members[0], members[1]
 
