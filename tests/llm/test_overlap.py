@@ -76,10 +76,10 @@ def test_segments_by_band(low: int, high: int, least: float, most: float) -> Non
     pairs = at_band(random.Random(low), low, high, least, most, 60)
     found = 0
     for a, b in pairs:
-        (ca, fa, ga), (cb, fb, gb) = O.keys_of([a], False), O.keys_of([b], True)
-        keys = {(c, g) for c, g in zip(ca.tolist(), ga.tolist(), strict=True)} & {(c, g if g == -1 else ga[0]) for c, g in zip(cb.tolist(), gb.tolist(), strict=True)}
-        apart = (int(fa[0]) ^ int(fb[0])) & (2**64 - 1), (int(ga[0]) ^ int(gb[0])) & (2**64 - 1)
-        found += any(g == -1 or sum(map(int.bit_count, apart)) <= O.RADIUS for _, g in keys)
+        (ca, ma), (cb, mb) = O.keys_of([a], False), O.keys_of([b], True)
+        shared = [(i, j) for i, c in enumerate(ca.tolist()) for j, d in enumerate(cb.tolist()) if c == d]
+        apart = lambda x, y: sum((int(u) & 2**64 - 1 ^ int(v) & 2**64 - 1).bit_count() for u, v in zip(x, y, strict=True))
+        found += any(ma[i][1] == mb[j][1] == -1 or apart(ma[i], mb[j]) <= O.RADIUS for i, j in shared)
     assert found >= 0.95 * len(pairs)
 
 

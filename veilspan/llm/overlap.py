@@ -22,6 +22,7 @@ import functools
 import hashlib
 import itertools
 import math
+import operator
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -40,7 +41,7 @@ GRADES = ((15, 4), (30, 6))
 LEAST = 60
 SIMILARITY = 0.8
 HOT = 500
-TABLES, BLOCK, FILTER, RADIUS = 28, 9, 128, 40
+TABLES, BLOCK, FILTER, RADIUS = 28, 9, 192, 57
 SECTIONS, CLASSES = 8, 64
 KEPT = 1 << 18  # classes a task remembers to have met
 # How often the letters a to z stand in a thousand characters of French, English and German text.
@@ -101,12 +102,15 @@ def _long(text: str) -> bool:
     return len(text) >= SIMILARITY * LEAST
 
 
-def filter_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of long texts: two numbers that hold the filter bits, and all bits."""
+MARKS = ("f", "g", "h")  # the filter bits; of a text on a window: its class, -1 and 0
+
+
+def filter_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of long texts: a row of numbers that hold the filter bits, and all bits."""
     if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FILTER + TABLES * BLOCK), dtype=bool)
+        return np.zeros((0, len(MARKS)), np.int64), np.zeros((0, FILTER + TABLES * BLOCK), dtype=bool)
     bits = hashes(texts)
-    return _packed(bits[:, :64]), _packed(bits[:, 64:FILTER]), bits
+    return np.stack([_packed(bits[:, i : i + 64]) for i in range(0, FILTER, 64)], axis=1), bits
 
 
 #: Logarithm of the ratio of lengths that a pair may have, with a little to spare, and the buckets of lengths, twice as wide.
@@ -147,8 +151,8 @@ def _deletions(text: str) -> set[int]:
     return {digest("".join(x)) for size in sizes for x in itertools.combinations(text, size)}
 
 
-KEYS = "code long, f long, g long"
-FORMS = "id string, cls long, f long, g long, flat string"
+KEYS = "code long, f long, g long, h long"
+FORMS = "id string, cls long, f long, g long, h long, flat string"
 
 
 def _new(flats: list[str], seen: set[int]) -> list[str]:
@@ -170,14 +174,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 2048)
 
 
-def keys_of(texts: list[str], wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, f, g) of levelled texts that are not empty: f and g hold the filter bits; beside a window, the class and -1."""
+def keys_of(texts: list[str], wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, marks) of levelled texts that are not empty: the marks are the filter bits or, beside a window, the class, -1 and 0."""
     long = [t for t in texts if _long(t)]
-    f, g, bits = filter_bits(long)
+    marks, bits = filter_bits(long)
     owner, code = block_codes(bits, list(map(len, long)), wide)
-    small = [(c, digest(t)) for t in texts if len(t) < LEAST for c in sorted(window_codes(t))]
-    window, cls = np.array(small, dtype=np.int64).reshape(-1, 2).T
-    return np.concatenate([code, window]), np.concatenate([f[owner], cls]), np.concatenate([g[owner], np.full(len(cls), -1)])
+    small = [(c, digest(t), -1, 0) for t in texts if len(t) < LEAST for c in sorted(window_codes(t))]
+    window = np.array(small, dtype=np.int64).reshape(-1, 1 + len(MARKS))
+    return np.concatenate([code, window[:, 0]]), np.concatenate([marks[owner], window[:, 1:]])
 
 
 def _keys(wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -187,7 +191,8 @@ def _keys(wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         seen: set[int] = set()
         for batch in _parts(batches):
             new = _new([t for t in map(level, batch.column("text").to_pylist()) if t], seen)
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in keys_of(new, wide)], names=["code", "f", "g"])
+            codes, marks = keys_of(new, wide)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (codes, *marks.T)], names=["code", *MARKS])
 
     return run
 
@@ -198,15 +203,15 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
         rows = [(i, t) for i, t in zip(batch.column("id").to_pylist(), map(level, batch.column("text").to_pylist()), strict=True) if t]
         new = _new([t for _, t in rows], seen)
-        f, g, _ = filter_bits([t for t in new if _long(t)])
-        bits = dict(zip([t for t in new if _long(t)], zip(f.tolist(), g.tolist(), strict=True), strict=True))
-        left, out = set(new), []
+        long = [t for t in new if _long(t)]
+        bits = dict(zip(long, filter_bits(long)[0].tolist(), strict=True))
+        left, out, none = set(new), [], [None] * len(MARKS)
         for i, t in rows:
-            out.append((i, digest(t), *(bits.get(t, (None, None)) if t in left else (None, None)), t if t in left else None))
+            out.append((i, digest(t), *(bits.get(t, none) if t in left else none), t if t in left else None))
             left.discard(t)
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "cls", "f", "g", "flat"])
+        columns = zip(*out, strict=True) if out else [[]] * (3 + len(MARKS))
+        kinds = (pa.string(), *[pa.int64()] * (1 + len(MARKS)), pa.string())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "cls", *MARKS, "flat"])
 
 
 def common(a: str, b: str, least: float = 0.0) -> int:
@@ -253,26 +258,26 @@ MOST_HOT = 200_000  # codes whose split is broadcast; more are joined
 
 
 def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Filter bits (af, ag, bf, bg) of texts that share a code and, but for windows, lie within the radius."""
+    """Marks (``a_f`` and so on, ``b_f`` and so on) of texts that share a code and, but for windows, lie within the radius."""
     shared_folder(a.sparkSession)
     parts = F.ceil(F.col("count") / HOT).cast("int")
     hot = b.groupBy("code").count().where(F.col("count") > HOT).select("code", parts.alias("parts")).checkpoint()
     n = hot.count()  # counts of rows, copies in different tasks included, so a part is never above HOT classes by much
-    b = b.repartition("code").dropDuplicates(["code", "f", "g"])
+    b = b.repartition("code").dropDuplicates(["code", *MARKS])
     keys = ["code"]
     if n:
         many = F.broadcast(hot) if n <= MOST_HOT else hot
         parts = F.coalesce("parts", F.lit(1))
-        b = b.join(many, "code", "left").withColumn("part", F.pmod(F.xxhash64("f", "g"), parts).cast("int")).drop("parts")
+        b = b.join(many, "code", "left").withColumn("part", F.pmod(F.xxhash64(*MARKS), parts).cast("int")).drop("parts")
         a = a.join(many, "code", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         keys.append("part")
     x, y = a.alias("x"), b.alias("y")
     same: Column = F.lit(True)
     for k in keys:
         same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    apart = F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) + F.bit_count(F.col("x.g").bitwiseXOR(F.col("y.g")))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS))
     near = (F.col("x.g") == -1) & (F.col("y.g") == -1) | (apart <= RADIUS)
-    return x.join(y, same & near).select(F.col("x.f").alias("af"), F.col("x.g").alias("ag"), F.col("y.f").alias("bf"), F.col("y.g").alias("bg")).distinct()
+    return x.join(y, same & near).select(*(F.col(f"{side}.{m}").alias(f"{new}_{m}") for side, new in (("x", "a"), ("y", "b")) for m in MARKS)).distinct()
 
 
 def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -290,15 +295,14 @@ def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame,
 
     def known(rows: DataFrame) -> DataFrame:
         """Level forms by filter bits, and the short ones by class; one exchange serves the deduplication and the join."""
-        rows = rows.where("flat is not null").select("cls", "f", "g", "flat")
-        by_window = F.when(F.length("flat") < LEAST, F.struct(F.col("cls").alias("f"), F.lit(-1).cast("long").alias("g")))
-        ways = F.explode(F.array_compact(F.array(F.when(F.col("f").isNotNull(), F.struct("f", "g")), by_window)))
-        return rows.select("cls", "flat", ways.alias("w")).select("cls", "w.f", "w.g", "flat").repartition("f", "g").dropDuplicates(["f", "g", "cls"])
+        by_window = F.when(F.length("flat") < LEAST, F.struct(F.col("cls").alias("f"), F.lit(-1).cast("long").alias("g"), F.lit(0).cast("long").alias("h")))
+        ways = F.explode(F.array_compact(F.array(F.when(F.col("f").isNotNull(), F.struct(*MARKS)), by_window)))
+        rows = rows.where("flat is not null").select("cls", "flat", ways.alias("w")).select("cls", *(f"w.{m}" for m in MARKS), "flat")
+        return rows.repartition(*MARKS).dropDuplicates([*MARKS, "cls"])
 
     flats = list(map(known, forms))
-    left = flats[0].select(F.col("cls").alias("a"), F.col("f").alias("af"), F.col("g").alias("ag"), F.col("flat").alias("flat_a"))
-    right = flats[1].select(F.col("cls").alias("b"), F.col("f").alias("bf"), F.col("g").alias("bg"), F.col("flat").alias("flat_b"))
-    near = candidates.join(right, ["bf", "bg"]).join(left, ["af", "ag"]).where("a <> b")
+    left, right = (x.select(F.col("cls").alias(side), *(F.col(m).alias(f"{side}_{m}") for m in MARKS), F.col("flat").alias(f"flat_{side}")) for x, side in zip(flats, "ab", strict=True))
+    near = candidates.join(right, [f"b_{m}" for m in MARKS]).join(left, [f"a_{m}" for m in MARKS]).where("a <> b")
     checked = near.select("a", "b", "flat_a", "flat_b").mapInArrow(_confirmed, "a long, b long")
     members = [x.select("id", "cls").distinct() for x in forms]
     same = members[0].select("cls").distinct().join(members[1].select("cls").distinct(), "cls")
