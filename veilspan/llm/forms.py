@@ -2,9 +2,9 @@
 
 Width and presentation forms, odd spaces, invisible marks and accents apart from their letter are settled character
 by character. Look-alike letters are settled token by token: the scripts of a token's letters are counted, and in a
-token that mixes scripts (or that stands wholly in another script among Latin words) the look-alikes are replaced
-when the result is a word of the corpus vocabulary, which is gathered over all texts. Words truly written in another
-script, emoji and the joiners inside them, superscripts, fractions and typographic marks stay.
+token that mixes scripts the letters that are not of its dominant script are replaced by their look-alikes in it, when
+the result is a word of the corpus vocabulary, which is gathered over all texts. Tokens of one script stay, and so do
+emoji and the joiners inside them, superscripts, fractions and typographic marks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,14 +51,32 @@ def _plain(c: str) -> str:
     return c
 
 
+# Scripts with look-alikes of Latin letters; phonetic and dotless letters are an alphabet of their own.
+SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
+
+
 @functools.lru_cache(maxsize=4096)
 def script(c: str) -> str:
-    """``latin``, ``other`` (a script that has look-alikes, or a phonetic letter that is one) or ``far``."""
-    if c in LOOKALIKES:
-        return "other"
-    if c < "ɐ" or "Ḁ" <= c <= "ỿ":
+    """One of ``SCRIPTS``, ``odd`` (a letter of another Latin alphabet that looks like an ordinary one) or ``far``."""
+    if c < "ɐ" and c not in LOOKALIKES or "Ḁ" <= c <= "ỿ":
         return "latin"
-    return "far"
+    name = unicodedata.name(c, "").split(" ", 1)[0].lower()
+    return name if name in SCRIPTS[1:] else "odd" if c in LOOKALIKES else "far"
+
+
+def _sisters() -> dict[str, dict[str, str]]:
+    """Of every script, its letter for a letter of another one that looks the same."""
+    to = {s: {} for s in SCRIPTS}
+    to["latin"] = dict(LOOKALIKES)
+    for c, plain in LOOKALIKES.items():
+        if script(c) in SCRIPTS:
+            to[script(c)].setdefault(plain, c)
+    for s in SCRIPTS[1:]:
+        to[s] |= {c: to[s][plain] for c, plain in LOOKALIKES.items() if script(c) != s and plain in to[s]}
+    return to
+
+
+_SISTERS = _sisters()
 
 
 Edit = tuple[int, int, str]
@@ -116,46 +135,53 @@ def moved(offset: int, edits: list[Edit], end: bool = False) -> int:
     return offset + shift
 
 
-def look_alikes(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, Latin spelling, mixed) of tokens whose letters of other scripts all look Latin.
+def dominant(word: str) -> str | None:
+    """The script most of a token's letters are of, where letters of another script or alphabet stand in it; else null.
 
-    ``mixed``: the token has Latin letters too. A token without any counts only where no neighbour is a word of a
-    script that does not look Latin.
+    Phonetic and dotless letters are Latin. Of scripts with as many letters the first of ``SCRIPTS`` counts. Letters of
+    far scripts have no look-alikes: such a token is left alone.
     """
-    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-    kinds = [{script(c) for c in w} if any(c > "ɏ" or c == "ı" for c in w) else {"latin"} for _, _, w in words]
+    counts = Counter(script(c) for c in word if unicodedata.category(c) != "Lm")
+    if counts["far"] or len(counts) < 2:
+        return None
+    counts["latin"] += counts.pop("odd", 0)
+    return max((s for s in SCRIPTS if counts[s]), key=counts.__getitem__)
+
+
+def look_alikes(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, spelling in its dominant script, that script) of tokens that mix scripts and have such a spelling."""
     out = []
-    for i, ((s, e, w), kind) in enumerate(zip(words, kinds, strict=True)):
-        if "other" not in kind or "far" in kind and any(script(c) == "far" and unicodedata.category(c) != "Lm" for c in w):
-            continue
-        latin = "latin" in kind
-        around = [kinds[j] for j in (i - 1, i + 1) if 0 <= j < len(words)]
-        if latin or not any("far" in k for k in around):
-            out.append((s, e, "".join(LOOKALIKES.get(c, c) for c in w), latin))
+    for m in _WORD.finditer(text):
+        word = m.group()
+        kind = dominant(word) if any(c > "ɏ" or c == "ı" for c in word) else None
+        if kind is not None:
+            spelled = "".join(c if script(c) == kind else _SISTERS[kind].get(c, c) for c in word)
+            if all(script(c) == kind or unicodedata.category(c) == "Lm" for c in spelled):
+                out.append((m.start(), m.end(), spelled, kind))
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], latin: bool) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         sure, words = [], []
         for text in batch.column(1).to_pylist():
             edits = character_edits(text)
             tokens = look_alikes(applied(text, edits) if edits else text)
             sure.append(bool(edits))
-            words.append(sorted({w.lower() for _, _, w, _ in tokens}))
+            words.append(sorted({w.lower() for _, _, w, k in tokens if k == "latin" or not latin}))
         yield pa.record_batch([batch.column(0), pa.array(sure), pa.array(words, pa.list_(pa.string()))], names=["id", "sure", "words"])
 
 
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
-    """``word``: every word of the texts that is written in Latin letters only, in lower case, once."""
+    """``word``: every word of the texts that is written in letters of one script only, in lower case, once."""
     words = F.explode(F.split(F.lower(F.col(column)), r"[\s\d\p{Punct}«»’“”…–—°€]+"))
-    return texts.select(words.alias("word")).where(F.col("word").rlike(r"^[\p{IsLatin}&&[^ıȷɐ-ʯᴀ-ᶿꜱ]]+$")).distinct()
+    return texts.select(words.alias("word")).where(F.col("word").rlike(r"^(?:[\p{IsLatin}&&[^ıȷɐ-ʯᴀ-ᶿꜱ]]+|\p{IsCyrillic}+|\p{IsGreek}+|\p{IsArmenian}+)$")).distinct()
 
 
-def suspects(records: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``sure`` (a character edit applies) and ``words`` (spellings that the vocabulary must confirm)."""
+def suspects(records: DataFrame, key: str, text: str, latin: bool = False) -> DataFrame:
+    """``id``, ``sure`` (a character edit applies) and ``words`` (spellings that the vocabulary must confirm); ``latin``: of Latin words only."""
     rows = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where(~F.col("text").rlike(ORDINARY))
-    return rows.mapInArrow(_scan, f"id {records.schema[key].dataType.simpleString()}, sure boolean, words array<string>")
+    return rows.mapInArrow(lambda batches: _scan(batches, latin), f"id {records.schema[key].dataType.simpleString()}, sure boolean, words array<string>")
 
 
 def odd_records(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -164,7 +190,7 @@ def odd_records(records: DataFrame, key: str = "id", text: str = "text") -> Data
     Null and empty texts hold none, very long ones are read whole; null keys are left out. Repeated rows add nothing. An empty table gives no rows.
     Other columns are ignored.
     """
-    found = suspects(records, key, text).where("id is not null").select("id", "sure", F.explode_outer(F.when(~F.col("sure"), F.col("words"))).alias("word"))
+    found = suspects(records, key, text, latin=True).where("id is not null").select("id", "sure", F.explode_outer(F.when(~F.col("sure"), F.col("words"))).alias("word"))
     words = vocabulary(records, text).withColumn("confirmed", F.lit(True))
     kept = found.join(words, "word", "left").where("sure or confirmed")
     return kept.select("id").distinct().withColumnRenamed("id", key)
@@ -184,7 +210,9 @@ def repaired(records: DataFrame, key: str = "id", text: str = "text", spans: str
     Of a key that comes several times, the first row in the order of its text is taken. A null text stays null, null
     spans stay null, spans outside the text stay as far outside. Null keys are left out. Other columns are ignored.
     """
-    rows = records.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(spans).alias("spans")).where("id is not null").dropDuplicates(["id"])
+    rows = records.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(spans).alias("spans")).where("id is not null")
+    # the first row of an id by its text; of equal texts the one with the least spans
+    rows = rows.groupBy("id").agg(F.min(F.struct("text", "spans")).alias("r")).select("id", "r.text", "r.spans")
     odd = rows.where(~F.col("text").rlike(ORDINARY))
     plain = rows.where(F.col("text").isNull() | F.col("text").rlike(ORDINARY))
     asked = suspects(records, key, text).select("id", F.explode("words").alias("word")).distinct()
