@@ -122,7 +122,8 @@ def test_corpus_judges_names(spark) -> None:
     assert {(k, v) for t, r, k, v in got if r == "w"} == {("person_name", "Gaëlle Untel"), ("person_name", "Ivo")}
     assert ("t", "j", "person_name", "Ivo") in got and not any(r in ("n", "e", "b") for _, r, _, _ in got)
     assert P.personal_data(texts.where("false")).count() == 0
-    assert P.masked("Ivo, Ivo Kern", {"Ivo": "person_name", "Ivo Kern": "person_name"}) == "⟦PERSON⟧, ⟦PERSON⟧"
+    assert P.masked("Rue Ivo, Ivo Kern", [(9, 17, "person_name"), (9, 12, "person_name")]) == "Rue Ivo, ⟦PERSON⟧"
+    assert P.masked_json('{"Ivo": "a\\u0042 Ivo", "n": ["Ivo", "Ivo c"]}', {0: [(3, 6, "person_name")], 2: [(0, 3, "email")]}) == '{"Ivo": "a\\u0042 ⟦PERSON⟧", "n": ["Ivo", "⟦EMAIL⟧ c"]}'
 
 
 def test_masked_responses_and_names_of_the_other_table(spark, tmp_path) -> None:

@@ -2,13 +2,14 @@
 
 Regular expressions propose spans; checksums (Luhn-like keys, mod 97, mod 511) confirm them; words nearby move their
 score. A proposal whose score reaches ``LEAST`` is a finding. What one text cannot tell is left to the corpus: which
-words are given names and which are street names is counted over all confident findings and gold spans, and proposals
+words are given names and which are street names is counted over all confident findings, and proposals
 without context of their own are joined with these counts.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -390,7 +391,7 @@ class Found:
         edits = character_edits(text) if _ODD.search(text) else []
         plain = applied(text, edits) if edits else text
         if _ODD.search(plain):
-            plain = applied(plain, [(s, e, w) for s, e, w, _ in look_alikes(plain)])
+            plain = applied(plain, [(s, e, w) for s, e, w, k in look_alikes(plain) if k == "latin"])
         sure_addresses, loose_addresses, self.streets = addresses(plain)
         sure_names, loose_names, self.words = names(plain)
         found = [*emails(plain), *phones(plain), *id_numbers(plain), *sure_addresses]
@@ -405,82 +406,91 @@ class Found:
             self.loose = [(k, [(key, *back(s, e)) for key, s, e in options]) for k, options in self.loose]
 
 
-ROWS = "table_name string, record_key string, place int, rank int, kind string, found_value string, start int, end int, key string, weight int"
+ROWS = "table_name string, record_key string, version long, leaf int, place int, rank int, kind string, found_value string, start int, end int, key string, weight int"
+SALTS = 16  # copies of the confirmed words, so that the places of one frequent name are spread over so many tasks
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split(" ") for c in ROWS.split(", "))])
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in ROWS.split(", "))])
     for batch in sliced(batches):
         out: list[tuple] = []
-        for name, key, text, is_json in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for name, key, text, is_json, version in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             place = 0
-            for leaf in leaves(_parsed(text)) if is_json else [text or ""]:
+            for number, leaf in enumerate(leaves(_parsed(text)) if is_json else [text or ""]):
                 if len(leaf) < 5:
                     continue
-                f = Found(leaf)
-                out += [(name, key, None, None, k, leaf[s:e], s, e, None, None) for k, s, e, _ in f.sure]
+                f, at = Found(leaf), (name, key, version, number)
+                out += [(*at, None, None, k, leaf[s:e], s, e, None, None) for k, s, e, _ in f.sure]
                 for kind, options in f.loose:
                     place += 1
-                    out += [(name, key, place, i, kind, leaf[s:e], s, e, w, None) for i, (w, s, e) in enumerate(options)]
-                out += [(None, None, None, None, "evidence", None, None, None, f"given {w}", role) for w, role in f.words]
-                out += [(None, None, None, None, "evidence", None, None, None, f"street {w.lower()}", 1) for w in f.streets]
+                    out += [(*at, place, i, kind, leaf[s:e], s, e, w, None) for i, (w, s, e) in enumerate(options)]
+                nowhere = (None,) * 6
+                out += [(*nowhere, "evidence", None, None, None, f"given {w}", role) for w, role in f.words]
+                out += [(*nowhere, "evidence", None, None, None, f"street {w.lower()}", 1) for w in f.streets]
         columns = zip(*out, strict=True) if out else [[]] * len(schema)
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def gold_words(records: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Evidence from annotated PERSON spans of two words: (key, weight), as the detector gives it."""
-    span = F.col("s")
-    rows = records.select(F.col(text).alias("t"), F.explode(spans).alias("s")).where((span["kind"] == "PERSON") & (span["start"] >= 0) & (span["end"] > span["start"]))
-    words = F.split(F.substring("t", span["start"] + 1, span["end"] - span["start"]), " ")
-    rows = rows.select(words.alias("w")).where((F.size("w") == 2) & (F.col("w")[0] != F.upper(F.col("w")[0])))
-    given, family = (F.concat(F.lit("given "), F.lower(F.split(F.col("w")[i], "-")[0])) for i in (0, 1))
-    return rows.select(F.explode(F.array(F.struct(given.alias("key"), F.lit(1).alias("weight")), F.struct(family.alias("key"), F.lit(2).alias("weight")))).alias("x")).select("x.*")
+def personal_spans(texts: DataFrame) -> DataFrame:
+    """``table_name``, ``record_key``, ``version`` (a hash of the text), ``leaf`` (number of the string leaf), ``kind``,
+    ``found_value``, ``start``, ``end`` of the personal data in texts, as ``personal_data`` takes them."""
+    shared_folder(texts.sparkSession)
+    rows = texts.select("table_name", "record_key", "text", "is_json", F.xxhash64("text").alias("version")).mapInArrow(_found, ROWS).checkpoint()
+    given = F.sum(F.when(F.col("weight") == 1, 1).otherwise(0))
+    known = rows.where("kind = 'evidence'").groupBy("key").agg(given.alias("yes"), F.count("*").alias("all")).where("yes >= 2 and yes >= 0.75 * all")
+    known = known.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    where = ["table_name", "record_key", "version", "leaf", "kind"]
+    found = rows.where("kind <> 'evidence'")
+    sure = found.where("key is null").select(*where, "found_value", "start", "end")
+    loose = found.where("key is not null").withColumn("salt", F.pmod(F.xxhash64("record_key", "version", "place"), F.lit(SALTS)).cast("int")).join(known, ["key", "salt"])
+    best = loose.groupBy(*where, "place").agg(F.min_by(F.struct("found_value", "start", "end"), "rank").alias("b"))
+    return sure.unionByName(best.select(*where, "b.*"))
 
 
-def personal_data(texts: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+def personal_data(texts: DataFrame) -> DataFrame:
     """``table_name``, ``record_key``, ``kind``, ``found_value`` of the personal data in texts, each once per record.
 
     ``texts``: ``table_name``, ``record_key``, ``text`` and ``is_json`` (the text is JSON, whose string leaves are
-    read; broken JSON holds nothing). ``gold``: evidence rows of ``gold_words``. Null and empty texts hold nothing,
-    very long ones are read whole; of overlapping proposals with equal scores the longer, then the earlier one stays;
-    null keys are kept. Repeated rows add nothing. An empty table gives no rows. Other columns are ignored.
+    read; broken JSON holds nothing). Null and empty texts hold nothing, very long ones are read whole; of overlapping
+    proposals with equal scores the longer, then the earlier one stays; null keys are kept. Repeated rows add nothing.
+    An empty table gives no rows. Other columns are ignored. Annotations are not read.
     """
-    shared_folder(texts.sparkSession)
-    rows = texts.select("table_name", "record_key", "text", "is_json").mapInArrow(_found, ROWS).checkpoint()
-    evidence = rows.where("kind = 'evidence'").select("key", "weight")
-    if gold is not None:
-        evidence = evidence.unionByName(gold)
-    given = F.sum(F.when(F.col("weight") == 1, 1).otherwise(0))
-    known = evidence.groupBy("key").agg(given.alias("yes"), F.count("*").alias("all")).where("yes >= 2 and yes >= 0.75 * all").select("key")
-    columns = ["table_name", "record_key", "kind", "found_value"]
-    sure = rows.where("kind <> 'evidence' and key is null").select(*columns)
-    loose = rows.where("kind <> 'evidence' and key is not null").join(known, "key")
-    best = loose.groupBy("table_name", "record_key", "kind", "place").agg(F.min_by("found_value", "rank").alias("found_value"))
-    return sure.unionByName(best.select(*columns)).distinct()
+    return personal_spans(texts).select("table_name", "record_key", "kind", "found_value").distinct()
 
 
 PLACEHOLDERS = {"person_name": "⟦PERSON⟧", "email": "⟦EMAIL⟧", "phone": "⟦PHONE⟧", "id_number": "⟦ID⟧", "postal_address": "⟦ADDRESS⟧"}
 
 
-def _pattern(values: dict[str, str]) -> re.Pattern:
-    """The places of ``values`` in a text, longest first."""
-    return re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(v) for v in sorted(values, key=lambda v: (-len(v), v)))})(?!\w)")
+Marks = dict[int, list[tuple[int, int, str]]]  # of each leaf: start, end and kind of its findings
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """``text`` with each span replaced by the placeholder of its kind; all else stays."""
+    out, at = [], 0
+    for start, end, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if start >= at:
+            out += [text[at:start], PLACEHOLDERS[kind]]
+            at = end
+    return "".join(out) + text[at:]
 
 
-def masked(text: str | None, values: dict[str, str]) -> str | None:
-    """``text`` with each value of ``values`` (value to kind) replaced by the placeholder of its kind, longest first."""
-    if not text or not values:
-        return text
-    return _pattern(values).sub(lambda m: PLACEHOLDERS[values[m.group()]], text)
+def masked_json(raw: str, marks: Marks) -> str:
+    """JSON with the spans of its string leaves, which are numbered in order, replaced; all else stays as it is written."""
+    number = itertools.count()
+    now: dict[tuple[int, int], str] = {}
 
+    def spans(_: str) -> list[tuple[int, int]]:
+        now.clear()
+        at = 0
+        for start, end, kind in sorted(marks.get(next(number), ()), key=lambda x: (x[0], -x[1])):
+            if start >= at:
+                now[start, end] = kind
+                at = end
+        return list(now)
 
-def masked_json(raw: str | None, values: dict[str, str]) -> str | None:
-    """JSON with each value of ``values`` replaced in its string leaves; broken JSON is kept as it is."""
-    if not raw or not values or _parsed(raw) is None:
-        return raw
-    pattern = _pattern(values)
-    return redacted_json(raw, lambda t: [m.span() for m in pattern.finditer(t)], lambda v: PLACEHOLDERS[values[v]])
+    # the replacements of a leaf are asked in the order of its spans
+    return redacted_json(raw, spans, lambda _: PLACEHOLDERS[now.pop(next(iter(now)))])
 
 
 def _texts(spark: SparkSession, directory: str, empty: bool = False) -> DataFrame:
@@ -493,24 +503,29 @@ def _texts(spark: SparkSession, directory: str, empty: bool = False) -> DataFram
 
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Personal data of quality and of tool responses."""
-    return personal_data(_texts(spark, directory), gold_words(table(spark, directory, "quality", "text", "spans")))
+    return personal_data(_texts(spark, directory))
 
 
 def p5_masked(spark: SparkSession, directory: str) -> DataFrame:
     """``table_name``, ``id`` and ``text`` of every quality record and tool response, its personal data replaced by typed placeholders."""
     texts = _texts(spark, directory, empty=True)
-    found = personal_data(texts, gold_words(table(spark, directory, "quality", "text", "spans")))
-    per_record = found.groupBy("table_name", "record_key").agg(F.sort_array(F.collect_list(F.struct("found_value", "kind"))).alias("found")).alias("p")
+    where = ["table_name", "record_key", "version"]
+    spans = personal_spans(texts).groupBy(*where).agg(F.collect_set(F.struct("leaf", "start", "end", "kind")).alias("found")).alias("p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            columns = (batch.column(n).to_pylist() for n in ("text", "is_json", "found"))
-            out = [(masked_json if j else masked)(t, {x["found_value"]: x["kind"] for x in f or ()}) for t, j, f in zip(*columns, strict=True)]
+            out = []
+            for text, is_json, found in zip(*(batch.column(n).to_pylist() for n in ("text", "is_json", "found")), strict=True):
+                marks: Marks = {}
+                for x in found or ():
+                    marks.setdefault(x["leaf"], []).append((x["start"], x["end"], x["kind"]))
+                out.append(text if not marks else masked_json(text, marks) if is_json else masked(text, marks.get(0, [])))
             yield pa.record_batch([batch.column("table_name"), batch.column("record_key"), pa.array(out, pa.string())], names=["table_name", "id", "text"])
 
-    rows = texts.dropDuplicates(["table_name", "record_key"]).alias("r")
-    same = (F.col("r.table_name") == F.col("p.table_name")) & F.col("r.record_key").eqNullSafe(F.col("p.record_key"))
-    return rows.join(per_record, same, "left").select("r.*", "p.found").mapInArrow(run, "table_name string, id string, text string")
+    # of a record that comes several times, the first text in order
+    rows = texts.groupBy("table_name", "record_key", "is_json").agg(F.min("text").alias("text")).withColumn("version", F.xxhash64("text")).alias("r")
+    same = (F.col("r.table_name") == F.col("p.table_name")) & F.col("r.record_key").eqNullSafe(F.col("p.record_key")) & (F.col("r.version") == F.col("p.version"))
+    return rows.join(spans, same, "left").select("r.*", "p.found").mapInArrow(run, "table_name string, id string, text string")
 
 
 QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked}
