@@ -78,10 +78,10 @@ KINDS = {"elapsed_ms": "double", "characters": "bigint"}
 
 
 def observations(spark: SparkSession, directory: str) -> DataFrame:
-    """Timing without redelivered rows: ``id``, ``model``, ``length_band``, ``day``, ``elapsed_ms`` (null if not usable), ``characters``."""
-    rows = table(spark, directory, "timing", "obs_id", "id", "model", "run_at", "characters", "length_band", "elapsed_ms")
+    """Timing without redelivered rows: ``model``, ``length_band``, ``day``, ``elapsed_ms`` (null if not usable), ``characters``."""
+    rows = table(spark, directory, "timing", "obs_id", "model", "run_at", "characters", "length_band", "elapsed_ms")
     rows = rows.select(
-        "obs_id", "id", "model", length_band(F.col("characters"), F.col("length_band")).alias("length_band"), F.to_date("run_at").alias("day"),
+        "obs_id", "model", length_band(F.col("characters"), F.col("length_band")).alias("length_band"), F.to_date("run_at").alias("day"),
         usable(F.col("elapsed_ms")).alias("elapsed_ms"), "characters",
     )
     # rows without an obs_id count once each, unless they are the same in every column
@@ -89,25 +89,54 @@ def observations(spark: SparkSession, directory: str) -> DataFrame:
     return rows.withColumn("__alone", alone).dropDuplicates(["obs_id", "__alone"]).drop("obs_id", "__alone")
 
 
+GROUPS = ["model", "length_band"]
+
+
+def percentiles_by_grain(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Percentiles at two grains: ``day`` (model, band and day) and ``band`` (model and band, from the merged days, ``day`` null)."""
+    shared_folder(spark)
+    days = summaries(rows, [*GROUPS, "day"], list(KINDS)).checkpoint()  # summaries only; read twice
+    whole = merged(days, GROUPS, KINDS).withColumn("day", F.lit(None).cast("date"))
+    parts = [part.select(F.lit(grain).alias("grain"), *GROUPS, "day", *(f"{c}{x}" for c in KINDS for x in ("_sketch", "_n"))) for part, grain in ((days, "day"), (whole, "band"))]
+    return percentiles(parts[0].unionByName(parts[1]), KINDS)
+
+
 def p6_percentiles(spark: SparkSession, directory: str) -> DataFrame:
-    """Percentiles at three grains: ``day`` (model, band and day), ``band`` (model and band, from the merged days) and ``record`` (id).
+    """Median and other percentiles of times and lengths by model and band, and by day."""
+    return percentiles_by_grain(spark, observations(spark, directory))
+
 
-    Columns that a grain does not group by are null.
+def p6_bounds(spark: SparkSession, directory: str) -> DataFrame:
+    """Per group, column and percentile of ``p6_percentiles``: the values and whether the answer's true rank is within twice the stated error.
+
+    The stated error holds for 99 % of the answers, twice the error for practically all of them.
     """
-    shared_folder(spark)
     rows = observations(spark, directory)
-    groups = ["model", "length_band"]
-    days = summaries(rows, [*groups, "day"], list(KINDS)).checkpoint()  # summaries only; read twice
-    whole = merged(days, groups, KINDS)
-    records = summaries(rows, ["id"], list(KINDS))
-    parts = [(days, "day"), (whole, "band"), (records, "record")]
-    kinds = {"model": "string", "length_band": "string", "day": "date", "id": "string"}
-    out = None
-    for part, grain in parts:
-        keys = [F.col(c) if c in part.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
-        part = part.select(F.lit(grain).alias("grain"), *keys, *(f"{c}{x}" for c in KINDS for x in ("_sketch", "_n")))
-        out = part if out is None else out.unionByName(part)
-    return percentiles(out, KINDS)
-
-
-QUERIES = {"p6_percentiles": p6_percentiles}
+    answers = percentiles_by_grain(spark, rows)
+    asked = [(c, p) for c in KINDS for p in PERCENTS]
+    spread = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(p).alias("percent"), F.col(f"{c}_p{p}").cast("double").alias("answer")) for c, p in asked)))
+    given = answers.select("grain", *GROUPS, "day", spread.alias("q")).select("grain", *GROUPS, "day", "q.*")
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in KINDS)))
+    held = rows.select(*GROUPS, "day", values.alias("v")).select(*GROUPS, "day", "v.*").where("value is not null")
+    held = held.groupBy(*GROUPS, "day", "column", "value").agg(F.count("*").alias("n"))  # ties are many
+    a, b = given.alias("a"), held.alias("b")
+    same = (F.col("a.column") == F.col("b.column")) & ((F.col("a.grain") == "band") | F.col("a.day").eqNullSafe(F.col("b.day")))
+    for g in GROUPS:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    ranks = a.join(b, same).groupBy("a.grain", *(f"a.{g}" for g in GROUPS), "a.day", "a.column", "a.percent").agg(
+        F.sum("b.n").alias("n"), F.sum(F.when(F.col("value") < F.col("answer"), F.col("b.n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("answer"), F.col("b.n")).otherwise(0)).alias("upto")
+    )
+    wide = 2 * rank_error() * F.col("n") + 1
+    return ranks.select("grain", *GROUPS, "day", "column", "percent", "n", (F.col("percent") / 100 * F.col("n")).between(F.col("below") - wide, F.col("upto") + wide).alias("within"))
+
+
+QUERIES = {"p6_percentiles": p6_percentiles, "p6_bounds": p6_bounds}
+
+_ROWS = """rows as (select model, case when characters < 128 then 'short_lt128' when characters < 512 then 'medium_128_511' when characters is not null then 'long_ge512'
+    when lower(length_band) in ('short_lt128', 'medium_128_511', 'long_ge512') then lower(length_band) end as length_band, cast(run_at as date) as day,
+    case when elapsed_ms >= 0 and isfinite(elapsed_ms) then elapsed_ms end as elapsed_ms, characters from (select * from timing qualify row_number() over (partition by obs_id order by recorded_at) = 1))"""
+SQL = {
+    "p6_bounds": f"""with {_ROWS}, long as (select model, length_band, day, 'elapsed_ms' as "column" from rows where elapsed_ms is not null union all select model, length_band, day, 'characters' from rows where characters is not null),
+      grains as (select 'day' as grain, model, length_band, day, "column", count(*) as n from long group by all union all select 'band', model, length_band, null, "column", count(*) from long group by all)
+      select grain, model, length_band, day, "column", cast(p as int) as percent, n, true as within from grains, unnest([{', '.join(map(str, PERCENTS))}]) as t(p)""",
+}
