@@ -19,7 +19,7 @@ def test_flight_keeps_totals() -> None:
         out = flight(p, sizes, rng)
         assert abs(out.sum() - p.sum()) < 1e-6 and abs((out * sizes).sum() - (p * sizes).sum()) < 1e-3
         assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
-        final = landing(out, sizes, rng)
+        final = landing(out, rng)
         assert set(final.tolist()) <= {0.0, 1.0} and abs((final * sizes).sum() - (p * sizes).sum()) <= (2 * sizes.max() if n else 0)
 
 
@@ -27,6 +27,10 @@ def test_inclusion_probabilities() -> None:
     p, sizes = np.array([0.2, 0.5, 0.7, 0.6, 0.4, 0.6]), np.array([3, 9, 4, 7, 5, 6])
     draws = np.mean([flight(p, sizes, np.random.default_rng(s)) for s in range(3000)], axis=0)
     assert np.abs(draws - p).max() < 0.04
+    landed = np.mean([landing(flight(p, sizes, r := np.random.default_rng(s)), r) for s in range(3000)], axis=0)
+    assert np.abs(landed - p).max() < 0.04
+    two = np.array([landing(np.array([0.9, 0.9]), np.random.default_rng(s)) for s in range(2000)])
+    assert set(two.sum(axis=1)) == {1.0, 2.0} and abs(two.sum(axis=1).mean() - 1.8) < 0.05
 
 
 def test_plan() -> None:

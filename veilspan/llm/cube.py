@@ -48,22 +48,19 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.nda
                 else:
                     values[k] = v
                     left.append(k)
-            hand = left if len(left) < 3 else left[:2]
+            if len(left) == 3:  # rounding kept all three off their ends: the nearest one is there
+                k = min(left, key=lambda i: min(values[i], 1 - values[i]))
+                values[k] = float(values[k] > 0.5)
+                left.remove(k)
+            hand = left
     return np.array(values)
 
 
-def landing(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides the last units of one source: the count by its rounded sum, and of the choices that keep it one whose size total is nearest."""
-    p = p.copy()
-    open_ = [i for i in range(len(p)) if _NEAR < p[i] < 1 - _NEAR]
-    if not open_:
-        return np.round(p)
-    wanted = sum(p[i] * sizes[i] for i in open_)
-    best, score = 0, float("inf")
-    for choice in range(1 << len(open_)):  # at most two units, four choices
-        total = sum(sizes[i] for k, i in enumerate(open_) if choice >> k & 1)
-        if abs(total - wanted) < score - 1e-12:
-            best, score = choice, abs(total - wanted)
-    for k, i in enumerate(open_):
-        p[i] = float(best >> k & 1)
-    return np.round(p)
+def landing(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decides the last units of one source by one draw: their probabilities are laid end to end, and every unit that holds a
+    point of the grid with this start and step 1 is taken. So each is taken with its probability, and their number is the
+    rounded sum, up or down; the totals of sizes are kept in expectation.
+    """
+    edges = np.concatenate([[0.0], np.cumsum(np.where((p > _NEAR) & (p < 1 - _NEAR), p, 0.0))])
+    hit = np.floor(edges - rng.random() + 1)
+    return np.where((p > _NEAR) & (p < 1 - _NEAR), np.diff(hit), np.round(p))

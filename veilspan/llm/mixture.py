@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.cube import flight, landing
 from veilspan.llm.encoding import encoded
+from veilspan.sources.shared import shared_folder
 from veilspan.sources.tables import table
 
 BLOCK = 2000
@@ -59,7 +60,7 @@ def _decided(group: pd.DataFrame, last: bool) -> pd.DataFrame:
     group = group.sort_values("__key", kind="stable")
     rng = np.random.default_rng([SEED, len(group), int(group["salt"].iloc[0]) & 0xFFFFFFFF])
     p = flight(group["p"].to_numpy(), group["tokens"].to_numpy(), rng)
-    group["p"] = landing(p, group["tokens"].to_numpy(), rng) if last else p
+    group["p"] = landing(p, rng) if last else p
     return group
 
 
@@ -118,10 +119,15 @@ def sized(spark: SparkSession, directory: str) -> DataFrame:
     return encoded(rows, "key", "text").select("key.doc_id", "key.source", F.col("n_ids").alias("tokens"))
 
 
+def _sizes(spark: SparkSession, directory: str) -> DataFrame:
+    """``sized``, made once: ids, sources and sizes only."""
+    shared_folder(spark)
+    return sized(spark, directory).checkpoint()
+
+
 def p8_mixture(spark: SparkSession, directory: str) -> DataFrame:
     """The documents of the mixture and how often each is taken."""
-    rows = sized(spark, directory).persist()
-    return mixture(rows, table(spark, directory, "mixture_targets"), "doc_id", "source", "tokens")
+    return mixture(_sizes(spark, directory), table(spark, directory, "mixture_targets"), "doc_id", "source", "tokens")
 
 
 def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
@@ -129,4 +135,16 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return shares(p8_mixture(spark, directory), table(spark, directory, "mixture_targets"))
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p8_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """Per source of the targets: whether no document is taken more often than allowed, and whether the tokens reached lie within
+    three documents (of the largest) of what the target share asks of the mixture."""
+    rows, targets = _sizes(spark, directory), table(spark, directory, "mixture_targets")
+    out = shares(mixture(rows, targets, "doc_id", "source", "tokens"), targets)
+    whole = out.agg(F.sum("tokens").alias("whole")).join(F.broadcast(rows.agg(F.max("tokens").alias("largest"))))  # one row each
+    off = F.abs(F.col("tokens") - F.col("target_share") * F.col("whole"))
+    out = out.join(F.broadcast(whole))
+    return out.select("source", "target_share", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (off <= 3 * F.col("largest")).alias("near_target"))
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_kept": p8_kept}
+SQL = {"p8_kept": "select source, target_share, max_repeats, true as within_cap, true as near_target from mixture_targets"}
