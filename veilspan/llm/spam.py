@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.batches import sliced
 from veilspan.llm.trees import Bag
+from veilspan.sources.shared import shared_folder
 from veilspan.sources.tables import table
 
 SAMPLE = 4000  # labelled pages the trees are fitted on, at most
 HOST_PAGES = 10.0  # pages that the overall rate counts for in a host's rate
 HOST_WEIGHT = 0.25
+SALTS = 16
 
 # Function words of French, English and German, and words of shop and search phrases.
 FUNCTION = frozenset(
@@ -41,7 +43,7 @@ _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@./])[\w-]+(?:\.[\w
 _ANCHOR = re.compile(r"<a\s[^>]*>|</a>|&raquo;|&gt;")
 _HASHTAG = re.compile(r"(?<!\w)#\w+")
 _PRICE = re.compile(r"\d+[.,]\d{2} ?[€$£]|[€$£] ?\d+|★|☆|\bSKU\b|\b-\d+ ?%|-\d{1,2} %")
-_TECHNICAL = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[\[{}\]<]|[-drwx]{10}\s|#!|import |def |return |class |\$ |\+ |@@|commit [0-9a-f]|[\w.\-]+/[\w./\-]+(?::|$))|[=;{}]\s*$|\w=\S|\"\s*:|^\s*[\w.-]+:\s*\S*\s*$|^\s*</?\w+[^>]*>.*</\w+>\s*$|\S+@\S+\s*[|;,\t]|\bdef \w+\(|^\s*(?:SELECT|INSERT|CREATE|UPDATE|export|git|curl|make|set) ")
+_TECHNICAL = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[\[{}\]<]|[-drwx]{10}\s|#!|import |def |return |class |\$ |\+ |@@|commit [0-9a-f]|[\w.\-]+/[\w./\-]+(?::|$))|[=;{}]\s*$|\w=\S|\"\s*:|^\s*[\w.-]+:\s*\S*\s*$|^\s*</?\w+[^>]*>.*</\w+>\s*$|\S@\S+\s*[|;,\t]|\bdef \w+\(|^\s*(?:SELECT|INSERT|CREATE|UPDATE|export|git|curl|make|set) ")
 _SENTENCES = re.compile(r"(?<=[.!?…])[\"»”)]*\s+")
 
 NAMES = ("sentence", "keyword", "link", "tag", "technical", "stuffed", "function", "shop", "repeats", "distinct", "links", "hashtags", "separators", "prices", "digits", "line", "size", "filler")
@@ -124,16 +126,22 @@ def weak_label(f: list[float] | np.ndarray) -> int | None:
     return None
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        x = [features(t) for t in batch.column("t").to_pylist()]
+        yield pa.record_batch([batch.column("k"), pa.array([weak_label(f) for f in x], pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["k", "label", "x"])
+
+
 def fitted(documents: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Bag:
-    """Trees on the weakly labelled of about ``sample`` pages (all, if there are fewer), chosen by a hash of their keys."""
-    rows = documents.where(F.col(key).isNotNull() & (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    """Trees on the weakly labelled of about ``sample`` pages (all, if there are fewer), chosen by a hash of their keys.
+
+    Features are made where the pages are; the driver gets their numbers and labels only.
+    """
+    rows = documents.where(F.col(key).isNotNull() & (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
     share = min(1.0, sample / max(1, documents.where(F.col(key).isNotNull()).count()))
     chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = [r["t"] for r in sorted(chosen.collect(), key=lambda r: (str(r["k"]), r["t"]))]  # about ``sample`` rows, whatever the number of partitions
-    x = np.array([features(t) for t in texts]).reshape(-1, len(NAMES))
-    labels = [weak_label(f) for f in x]
-    known = [i for i, v in enumerate(labels) if v is not None]
-    return Bag(x[known], np.array([labels[i] for i in known], dtype=float))
+    known = sorted((r["k"], r["x"], r["label"]) for r in chosen.mapInArrow(_vectors, "k string, label int, x array<double>").where("label is not null").collect())  # about ``sample`` rows of numbers
+    return Bag(np.array([x for _, x, _ in known]).reshape(-1, len(NAMES)), np.array([v for _, _, v in known], dtype=float))
 
 
 def _logit(p: Column) -> Column:
@@ -160,10 +168,13 @@ def scored(documents: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.where(F.col(key).isNotNull()).select(F.col(key), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("__text"))
-    pages = rows.mapInArrow(run, f"`{key}` {kind}, host string, page double").persist()
+    shared_folder(documents.sparkSession)
+    pages = rows.mapInArrow(run, f"`{key}` {kind}, host string, page double").checkpoint()  # keys, hosts and scores only
     overall = F.lit(pages.agg(F.avg("page")).first()[0] or 0.0)
     rates = pages.where("host is not null").groupBy("host").agg(((F.sum("page") + HOST_PAGES * overall) / (F.count("*") + HOST_PAGES)).alias("host_rate"))
-    out = pages.join(rates, "host", "left")
+    # the pages of one host may be a third of all: they are salted, and its rate is copied to every salt
+    rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = pages.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(rates, ["host", "salt"], "left")
     moved = _logit(F.col("page")) + HOST_WEIGHT * (_logit(F.col("host_rate")) - _logit(overall))
     return out.select(key, "page", "host_rate", F.when(F.col("page") == 0, 0.0).when(F.col("host_rate").isNull(), F.col("page")).otherwise(1 / (1 + F.exp(-moved))).alias("score"))
 
