@@ -147,6 +147,21 @@ def test_checksums() -> None:
     assert P.tax_valid("0000000511" + "000") and not P.tax_valid("0000000511001")
 
 
+# Written by hand, in no form of the drafted lines' own words: values people choose, addresses, and what only looks alike.
+BY_HAND = [
+    ("password=hunter", ["hunter"]), ("password: correcthorsebattery", ["correcthorsebattery"]), ('DB_PASSWORD="letmein"', ["letmein"]), ("pwd=ab12", ["ab12"]), ("secret=Zx9!q", ["Zx9!q"]),
+    ('passphrase: "tall amber candle river"', ["tall amber candle river"]), ("password=summer", ["summer"]), ("pwd: 12345678", ["12345678"]), ("PASSWORD=abc12!", ["abc12!"]), ("mdp: soleil", ["soleil"]),
+    ("SLACK_WEBHOOK=https://hooks.slack.com/services/T024BE7LD/B024BE7LH/k9AbCdEfGhIjKlMnOpQrStUv", ["k9AbCdEfGhIjKlMnOpQrStUv"]), ('<entry key="smtp.pass" value="Liste-Passage5626"/>', ["Liste-Passage5626"]),
+    ("bad password for user svc", []), ("password: required", []), ("api_key: ${API_KEY}", []), ("token: bearer", []), ("PASSWORD=changeme", []), ("The password of the clerk was lost.", []), ("pwd: /home/ann/work", []),
+    ("max_tokens=4096", []), ("password = get_password(user)", []), ("Passwords must be changed every month.", []), ("see https://wiki.acme.example/pages/B024BE7LH", []), ("", []), ("pwd", []),
+]
+
+
+@pytest.mark.parametrize(("line", "want"), BY_HAND)
+def test_lines_written_by_hand(line: str, want: list[str]) -> None:
+    assert [line[a:b] for a, b in S.Finder()(line)] == want
+
+
 # --- encoding ----------------------------------------------------------------------------------------------------------
 VOCABULARY = f"{En.TOKENIZERS}/{En.VOCABULARY}"
 needs_files = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary files")

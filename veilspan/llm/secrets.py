@@ -2,8 +2,8 @@
 
 Every string leaf of a payload is cut into lines, a line into lexical tokens; a linear-chain conditional random field
 over shapes and context labels the tokens, and its Viterbi spans are the characters that are redacted. The field is
-trained here, from the drafted lines of ``secret_lines``. Lines that cannot hold a case (no word that names or marks a
-credential, or no token a secret could be) skip the field.
+trained here, from the drafted lines of ``secret_lines``. Every line that holds one of the literals a credential stands
+beside (a word that names one, a provider's prefix, a scheme) is labelled by the field, whatever its tokens look like.
 """
 
 from __future__ import annotations
@@ -93,9 +93,20 @@ def shape(token: str) -> str:
     return "word"
 
 
+#: Shapes that few values but credentials and digests have; only a feature, no line is left out by it.
 POSSIBLE = frozenset("prefixed hex hex32 hex40 hex64 hex128 uuid long marked mixed lettered scrambled public".split())
 
 
+# Parts of names whose values people choose, and words that stand where a value is still to come.
+CHOSEN = frozenset("password passwd passphrase pwd pass passe mdp pgpassword".split())
+STAND_INS = frozenset("changeme change_me changeit required optional obligatoire requis none null nil true false yes no example exemple todo tbd unset default placeholder string str text bytes password secret token hidden masked redacted here empty undefined value valeur your votre prompt stdin".split())
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def chosen(token: str) -> bool:
+    return any(p.lower() in CHOSEN for p in _PARTS.findall(token))
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def name_class(token: str) -> str:
     """What a name names: ``secret``, ``fingerprint``, ``meta`` (about a credential), ``other`` or ``none``."""
@@ -121,6 +132,15 @@ def lexemes(line: str, offset: int = 0) -> list[Lexeme]:
         if kind == 4:
             continue
         text = m.group()
+        after = line[m.end() : m.end() + 1]
+        if kind == 3 and text[-1] == "=" and after and after in "\"'" and line[max(0, m.start() - 1) : m.start()] != after:
+            name = text.rstrip("=")  # the sign of an assignment, no padding: the quote behind it opens there
+            out += [(m.start() + offset, m.start() + len(name) + offset, name, "run")] * bool(name)
+            out += [(i + offset, i + 1 + offset, "=", "=") for i in range(m.start() + len(name), m.end())]
+            continue
+        if kind == 3 and text.startswith("//"):  # the rest of an address: its parts on their own
+            out += [(p.start() + m.start() + offset, p.end() + m.start() + offset, p.group(), "/" if p.group() == "/" else "run") for p in re.finditer(r"/|[^/]+", text)]
+            continue
         out.append((m.start() + offset, m.end() + offset, text, "pem" if kind == 1 else "ref" if kind == 2 else "run" if kind == 3 else text))
     return out
 
@@ -138,10 +158,13 @@ def features(tokens: list[Lexeme], line: str, offset: int = 0) -> list[list[str]
     command = "none"
     last_secret, last_name, gap = -1, "none", ""
     scheme, user = "", False
+    pick, quote = False, ""  # whether the last name's value is one that people choose; the quote that is open behind it
     for i, (_, _, text, kind) in enumerate(tokens):
         s = shapes[i]
         # the delimiters since the last run, and what that run names
         f = [f"s:{s}", f"sg:{s}|{gap}", f"snk:{s}|{last_name}|{gap}", f"nk:{last_name}|{gap}"]
+        if quote:
+            f.append(f"q:{kind if kind not in ('run', 'ref') else s}")
         if kind in ("run", "pem", "ref"):
             n = len(text)
             size = "1" if n < 7 else "2" if n < 12 else "3" if n < 20 else "4" if n < 32 else "5"
@@ -160,15 +183,23 @@ def features(tokens: list[Lexeme], line: str, offset: int = 0) -> list[list[str]
                 f += [f"url:{i > 1 and (tokens[i - 2][3] in ('run', ':'))}", "urlpass"]
             if user:
                 f.append(f"user:{before}|{s}")
+            if pick:
+                f += [f"pk:{s}|{gap}", f"pkn:{len(text) > 3}|{gap}"]
+            if lower[i] in STAND_INS:
+                f.append(f"in:{last_name}")
+            if names[i] in ("secret", "meta") and kind == "run":
+                f.append(f"vn:{last_name}|{gap}")
             lw = lower[i]
             scheme = lw if lw in ("bearer", "basic") else ""
             user = user and before != ":" or lw in ("-u", "--user")
             if names[i] == "secret":
                 last_secret = i
-            last_name, gap = names[i], ""
-            if s in POSSIBLE or kind == "ref":
-                last_name = "value"
+            if not quote:
+                pick = names[i] == "secret" and chosen(text)
+                last_name = "value" if s in POSSIBLE or kind == "ref" else names[i]
+            gap = ""
         else:
+            quote = "" if kind == quote else kind if kind in ('"', "'") and pick and gap[-1:] in (":", "=") else quote
             gap = (gap + kind)[-3:]
         command = command if command != "none" else s
         out.append(f)
@@ -214,8 +245,7 @@ class Finder:
         if line not in self.known:
             if len(self.known) >= self.keep:
                 self.known.clear()
-            possible = any(shape(m) in POSSIBLE for m in re.findall(_RUN_ONLY, line))
-            self.known[line] = _spans(line, self.crf) if possible else []
+            self.known[line] = _spans(line, self.crf)
         return self.known[line]
 
     def __call__(self, text: str) -> list[tuple[int, int]]:
@@ -235,14 +265,11 @@ class Finder:
     def _lines(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
         out = []
         for line in text[start:end].split("\n"):
-            out += [(s + start, e + start) for s, e in self.line(line)] if len(line) >= 8 else []
+            out += [(s + start, e + start) for s, e in self.line(line)]
             start += len(line) + 1
         return out
 
 
-_RUN_ONLY = re.compile(rf"(?<![\w\-.+/*!%#~^$])[\w\-.+/*!%#~^$]{{7,}}")
-
-
 def leaves(value: object) -> Iterator[str]:
     """The string leaves of a decoded JSON value; keys are none."""
     if isinstance(value, str):
