@@ -11,13 +11,10 @@ MODULES = ("overlap", "sample", "secrets", "forms", "personal", "quantiles", "en
 
 
 def _parts(name: str) -> dict:
+    """What the modules register under a name; a module that cannot be imported is an error."""
     out: dict = {}
     for module in MODULES:
-        try:
-            out |= getattr(importlib.import_module(f"veilspan.llm.{module}"), name, {})
-        except ModuleNotFoundError as e:
-            if e.name != f"veilspan.llm.{module}":
-                raise
+        out |= getattr(importlib.import_module(f"veilspan.llm.{module}"), name, {})
     return out
 
 

@@ -102,11 +102,11 @@ _ENCODERS: dict[tuple[str, str | None], Encoder] = {}
 
 
 def _encoder(vocabulary: str, file: str | None) -> Encoder:
-    """This worker's encoder, kept between tasks."""
+    """This worker's encoder, kept between tasks; both files came with the job."""
     key = (vocabulary, file)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(load_ranks(vocabulary), Lexicon(SparkFiles.get(file)) if file else None)
+        _ENCODERS[key] = Encoder(load_ranks(SparkFiles.get(vocabulary)), Lexicon(SparkFiles.get(file)) if file else None)
     return _ENCODERS[key]
 
 
@@ -144,11 +144,13 @@ def encoded(documents: DataFrame, key: str, text: str, tokenizers: str = TOKENIZ
     texts and words are encoded whole; pairs of equal rank are merged from the left. Repeated keys and texts are kept
     row by row; a null key stays null. An empty table gives no rows. Other columns are ignored.
     """
-    path = f"{tokenizers}/{vocabulary}"
-    file = word_lexicon(documents.sparkSession, documents, text, path)
+    spark, path = documents.sparkSession, f"{tokenizers}/{vocabulary}"
+    with open(path, "rb") as f:
+        shipped = share_file(spark, f.read(), "vocabulary")  # only the driver needs the folder
+    file = word_lexicon(spark, documents, text, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, file)
+        encoder = _encoder(shipped, file)
         for batch in sliced(batches):
             ids, counts = encoder.encode(batch.column("__text").to_pylist())
             ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
