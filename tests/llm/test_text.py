@@ -270,3 +270,11 @@ def test_dotless_letters_and_words_beyond_western_latin(spark) -> None:
     rows = [("a", "La fın du jour"), ("b", "la fin du čas"), ("c", "un č\u0430s de plus"), ("d", "rien")]
     records = spark.createDataFrame(rows, "id string, text string")
     assert {r[0] for r in Fo.odd_records(records).collect()} == {"a", "c"}
+
+
+def test_dominant_script(spark) -> None:
+    words = "Он сказал привет всем. poème avec le mot pot cop est arrivé"
+    rows = [("v", words), ("a", "Le сор est arrivé"), ("b", "le mot рот est russe"), ("c", "Он сказал привeт всем"), ("d", "un роèmе аvес mоt"), ("e", "słowo to słowо"), ("f", "słowo")]
+    got = {r["id"]: r["text"] for r in Fo.repaired(spark.createDataFrame([(*r, []) for r in rows], "id string, text string, spans array<struct<start:int,end:int>>")).collect()}
+    assert got["a"] == rows[1][1] and got["b"] == rows[2][1] and got["c"] == "Он сказал привет всем" and got["d"] == "un poème avec mot" and got["e"] == "słowo to słowo"
+    assert {r[0] for r in Fo.odd_records(spark.createDataFrame(rows, "id string, text string")).collect()} == {"d", "e"}

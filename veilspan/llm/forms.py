@@ -3,7 +3,8 @@
 Width and presentation forms, odd spaces, invisible marks and accents apart from their letter are settled character
 by character. Look-alike letters are settled token by token: the scripts of a token's letters are counted, and in a
 token that mixes scripts the letters that are not of its dominant script are replaced by their look-alikes in it, when
-the result is a word of the corpus vocabulary, which is gathered over all texts. Tokens of one script stay, and so do
+the result is a word of the corpus vocabulary, which is gathered over all texts; else the next script of the token is
+tried, since more than half of a short word's letters may have been exchanged. Tokens of one script stay, and so do
 emoji and the joiners inside them, superscripts, fractions and typographic marks.
 """
 
@@ -135,26 +136,25 @@ def moved(offset: int, edits: list[Edit], end: bool = False) -> int:
     return offset + shift
 
 
-def dominant(word: str) -> str | None:
-    """The script most of a token's letters are of, where letters of another script or alphabet stand in it; else null.
+def by_dominance(word: str) -> list[str]:
+    """The scripts of a token's letters, the dominant one first, where letters of several scripts or alphabets stand in it; else none.
 
-    Phonetic and dotless letters are Latin. Of scripts with as many letters the first of ``SCRIPTS`` counts. Letters of
+    Phonetic and dotless letters are Latin. Of scripts with as many letters the first of ``SCRIPTS`` leads. Letters of
     far scripts have no look-alikes: such a token is left alone.
     """
     counts = Counter(script(c) for c in word if unicodedata.category(c) != "Lm")
     if counts["far"] or len(counts) < 2:
-        return None
+        return []
     counts["latin"] += counts.pop("odd", 0)
-    return max((s for s in SCRIPTS if counts[s]), key=counts.__getitem__)
+    return sorted((s for s in SCRIPTS if counts[s]), key=lambda s: -counts[s])
 
 
 def look_alikes(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, spelling in its dominant script, that script) of tokens that mix scripts and have such a spelling."""
+    """(start, end, spelling, script) of tokens that mix scripts: for each of their scripts, the dominant one first, the spelling in it, if there is one."""
     out = []
     for m in _WORD.finditer(text):
         word = m.group()
-        kind = dominant(word) if any(c > "ɏ" or c == "ı" for c in word) else None
-        if kind is not None:
+        for kind in by_dominance(word) if any(c > "ɏ" or c == "ı" for c in word) else ():
             spelled = "".join(c if script(c) == kind else _SISTERS[kind].get(c, c) for c in word)
             if all(script(c) == kind or unicodedata.category(c) == "Lm" for c in spelled):
                 out.append((m.start(), m.end(), spelled, kind))
@@ -200,7 +200,8 @@ def repaired_text(text: str, confirmed: set[str]) -> tuple[str, list[list[Edit]]
     """The text in one form and the two rounds of edits that lead to it."""
     first = character_edits(text)
     middle = applied(text, first) if first else text
-    second = [(s, e, w) for s, e, w, _ in look_alikes(middle) if w.lower() in confirmed]
+    # of the spellings of a token the first that is a word: in its dominant script, else in another one of its own
+    second = list({s: (s, e, w) for s, e, w, _ in reversed(look_alikes(middle)) if w.lower() in confirmed}.values())[::-1]
     return (applied(middle, second) if second else middle), [first, second]
 
 
