@@ -18,6 +18,9 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[pa.R
         for column in batch.columns:
             if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
                 sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        if sizes.sum() <= most:  # also a batch without rows
+            yield batch
+            continue
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
