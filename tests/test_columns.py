@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import random
 
+import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from veilspan.operators import tokens as T
 from veilspan.operators import vault as V
 from veilspan.operators.nested import map_strings
 from veilspan.operators.rules import Span, drop_touching, settle
+from veilspan.plans import form_queries as Q
 
 KEY = b"k" * 32
 
@@ -100,6 +102,26 @@ def test_protect_and_restore(spark) -> None:
     assert V.decrypted(V.encrypted(vault, F.lit("0" * 32)), F.lit("0" * 32)).exceptAll(vault).count() == 0
 
 
+def test_clashing_tokens_stay(spark) -> None:
+    vault = spark.createDataFrame([("s", "email", "00000001", "a@b.example"), ("s", "email", "00000001", "c@d.example"), ("s", "email", "00000002", "e@f.example")], "session_id string, kind string, token_id string, value string")
+    masked = spark.createDataFrame([(1, "s", "⟦EMAIL:00000001⟧, ⟦EMAIL:00000002⟧")], "id int, session string, text string")
+    assert V.restored(masked, vault, "id", "session").first()["text"] == "⟦EMAIL:00000001⟧, e@f.example"
+
+
+def test_forms_whose_short_ids_clash(spark, tmp_path) -> None:
+    inner = hmac.new(Q.MASTER, b"0", hashlib.sha256).digest()
+    seen: dict[str, int] = {}
+    for k in range(0, 10**7, 10):  # licences of session 0 until two have one id of 8 digits
+        other = seen.setdefault(hmac.new(inner, f"P{k:010d}".encode(), hashlib.sha256).hexdigest()[:8], k)
+        if other != k:
+            break
+    spark.createDataFrame([(k,), (other,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {tuple(r) for r in Q.restored_forms(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert len(got) == 2 and got == set(con.execute(Q.SQL["restored_forms"]).fetchall())
+
+
 def test_names_of_large_batches(spark) -> None:
     rows = [("s", "Nom : Jean Dupont"), ("s", "Nom : Ann Lee-Roy"), ("s", "jean dupont et Ann Lee-Roy, puis Jean"), ("t", "Jean Dupont"), (None, "Nom : Bob Ray"), (None, "Bob Ray dort"), ("s", None), ("s", "jean dupont et Ann Lee-Roy, puis Jean")]
     frame = spark.createDataFrame(rows, "session string, text string")

@@ -13,6 +13,7 @@ PLACEHOLDER = re.compile(r"⟦[A-Z0-9_]+:(?:[0-9A-F]{8,64}|REDACTED)⟧")
 TOKEN_JAVA = "⟦[A-Z0-9_]+:[0-9A-F]{8,64}⟧"
 PLACEHOLDER_JAVA = "⟦[A-Z0-9_]+:(?:[0-9A-F]{8,64}|REDACTED)⟧"
 ID_LENGTH = 8
+LONG_ID = 32  # for sessions of any size: ids of 8 digits clash once a session holds some ten thousand values of a kind
 
 
 def pads(key: bytes) -> tuple[str, str]:

@@ -129,14 +129,16 @@ def read_vault(spark: SparkSession, path: str, sessions: DataFrame | None = None
 def restored(texts: DataFrame, vault: DataFrame, key: str, session: str, text: str = "text") -> DataFrame:
     """All columns, with the tokens of ``text`` replaced by their values.
 
-    Tokens of other sessions, of another kind than they were made for, unknown ones and redactions stay. Only the
-    distinct tokens of texts that hold any are joined with the vault; ``key`` tells rows apart.
+    Tokens of other sessions, of another kind than they were made for, unknown ones, those with two values in the vault
+    (``collisions``; which one was meant is not known) and redactions stay. Only the distinct tokens of texts that hold
+    any are joined with the vault; ``key`` tells rows apart.
     """
     holds = F.col(text).contains("⟦")
     asked = texts.where(holds).select(F.col(key).alias("__key"), F.col(session).cast("string").alias("session_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(T.TOKEN_JAVA), F.lit(0)))).alias("token"))
     parts = asked.withColumn("kind", F.lower(F.regexp_extract("token", "⟦([A-Z0-9_]+):", 1))).withColumn("token_id", F.regexp_extract("token", ":([0-9A-F]+)⟧", 1))
-    known = parts.join(vault.select(*VAULT), list(VAULT[:3]))
-    maps = known.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("__map"))
+    known = parts.join(vault.select(*VAULT), list(VAULT[:3])).repartition("__key")  # one exchange serves both groupings
+    single = known.groupBy("__key", "token").agg(F.min("value").alias("value"), F.max("value").alias("other")).where("value = other")
+    maps = single.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("__map"))
     joined = texts.join(maps, texts[key] == maps["__key"], "left").drop("__key")
     spans = S.matches(F.col(text), T.TOKEN_JAVA, "token")
     values = F.transform(F.col("__spans"), lambda s: F.coalesce(F.col("__map")[F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])], F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])))

@@ -89,9 +89,9 @@ def card_values(spark: SparkSession, d: str) -> DataFrame:
     return forms(spark, d).select("k", F.explode(S.values(F.col("text"), D.cards(F.col("text")))).alias("value"))
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
+def _items(spark: SparkSession, d: str, length: int = T.ID_LENGTH) -> DataFrame:
     found = D.with_spans(forms(spark, d))
-    return V.with_tokens(found, V.session_pads(F.col("session"), MASTER), "session")
+    return V.with_tokens(found, V.session_pads(F.col("session"), MASTER), "session", length=length)
 
 
 def masked_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ def vault_values(spark: SparkSession, d: str) -> DataFrame:
 def restored_forms(spark: SparkSession, d: str) -> DataFrame:
     """Masked forms restored from the vault of their sessions: redactions stay. The detector runs once."""
     shared_folder(spark)
-    items = _items(spark, d).checkpoint()
+    items = _items(spark, d, T.LONG_ID).checkpoint()
     masked = V.protected(items).select("k", "session", "text")
     return V.restored(masked, V.vault_rows(items, "session"), "k", "session").select("k", "text")
 
@@ -175,7 +175,7 @@ def restored_documents(spark: SparkSession, d: str) -> DataFrame:
     shared_folder(spark)
     rows = spread(table(spark, d, "documents", "doc_id", "text", "origin")).withColumn("session", F.coalesce("origin", F.lit("none")))
     found = D.with_spans(rows).withColumn("spans", reversible(F.col("spans")))
-    items = V.with_tokens(found, V.session_pads(F.col("session"), MASTER), "session").checkpoint()
+    items = V.with_tokens(found, V.session_pads(F.col("session"), MASTER), "session", length=T.LONG_ID).checkpoint()
     masked = V.protected(items).select("doc_id", "session", "text")
     return V.restored(masked, V.vault_rows(items, "session"), "doc_id", "session").select("doc_id", "text")
 
