@@ -125,3 +125,10 @@ def test_clashing_columns_and_long_texts(spark) -> None:
     q = spark.createDataFrame([("q", long, 1, "x")], "id string, text string, cls int, code string")
     links, _, _ = O.cross_split_classes(q, q)
     assert links.count() == 1
+
+
+def test_no_codes_or_pairs_are_shuffled(spark) -> None:
+    q, c = (spark.createDataFrame([(f"{side}{i}", " ".join(WORDS[i:] + WORDS[:i])) for i in range(20)], "id string, text string") for side in "qc")
+    links = O.cross_split_classes(q, c)[0]
+    assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+    assert len([r for r in links.collect() if r["a"] == r["b"]]) == 20

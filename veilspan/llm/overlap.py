@@ -5,15 +5,15 @@ counted in eight soft sections along the text, and each bit says on which side o
 that agree in four fifths of their characters differ in few bits, since a letter that is lost or moved a little changes
 little; other texts of one language differ in about half of them.
 
-Texts of different splits are joined on blocks of the hash (``TABLES`` segments of ``BLOCK`` bits each), a pair goes on
+Texts of different splits meet on blocks of the hash (``TABLES`` segments of ``BLOCK`` bits each), a pair goes on
 if other ``FILTER`` bits lie within the Hamming ``RADIUS`` and the lengths allow four fifths, and the longest common
-subsequence confirms it exactly. Pairs of texts under ``LEAST`` characters, whose hashes say little, join on windows of
+subsequence confirms it exactly. Pairs of texts under ``LEAST`` characters, whose hashes say little, meet on windows of
 characters at every position instead, under 15 characters on their subsequences.
 
 Copies are one class by the digest of their level form, so a text that fills a third of the rows costs one class.
-Blocks are joined within buckets of the text's length, wide enough that every pair the lengths allow meets in one. A block that more than ``HOT`` classes of the second side share is split into parts of about ``HOT`` classes, and each
-row of the first side meets every part: the work is spread and no pair is left out. Nothing is kept between the passes:
-both read the texts anew, so a lost executor costs its tasks only.
+Each side is written once, as packs of about ``HOT`` classes of like length with their bits; every pack of one side
+meets every pack of the other whose lengths allow a pair, and blocks, radius and subsequence are seen to inside that
+task. Neither codes nor candidates are shuffled, so what is written grows with the input, not with the pairs compared.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ import functools
 import hashlib
 import itertools
 import math
-import operator
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm.batches import sliced
@@ -40,7 +40,9 @@ from veilspan.sources.tables import table
 GRADES = ((15, 4), (30, 6))
 LEAST = 60
 SIMILARITY = 0.8
-HOT = 500
+HOT = 4096  # classes of a pack
+MOST = 1 << 20  # characters of a pack; a longer text is one alone
+AT_ONCE = 1 << 21  # pairs that share a code, looked at together
 TABLES, BLOCK, FILTER, RADIUS = 28, 9, 192, 57
 SECTIONS, CLASSES = 8, 64
 KEPT = 1 << 18  # classes a task remembers to have met
@@ -105,12 +107,14 @@ def _long(text: str) -> bool:
 MARKS = ("f", "g", "h")  # the filter bits; of a text on a window: its class, -1 and 0
 
 
-def filter_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of long texts: a row of numbers that hold the filter bits, and all bits."""
-    if not texts:
-        return np.zeros((0, len(MARKS)), np.int64), np.zeros((0, FILTER + TABLES * BLOCK), dtype=bool)
-    bits = hashes(texts)
-    return np.stack([_packed(bits[:, i : i + 64]) for i in range(0, FILTER, 64)], axis=1), bits
+def all_bits(texts: list[str]) -> np.ndarray:
+    """Of long texts: a row of bits each."""
+    return np.concatenate([np.zeros((0, FILTER + TABLES * BLOCK), dtype=bool), *(hashes(texts[i : i + 2048]) for i in range(0, len(texts), 2048))])
+
+
+def _filter(bits: np.ndarray) -> np.ndarray:
+    """A row of numbers that hold the filter bits."""
+    return np.stack([_packed(bits[:, i : i + 64]) for i in range(0, FILTER, 64)], axis=1)
 
 
 #: Logarithm of the ratio of lengths that a pair may have, with a little to spare, and the buckets of lengths, twice as wide.
@@ -151,10 +155,6 @@ def _deletions(text: str) -> set[int]:
     return {digest("".join(x)) for size in sizes for x in itertools.combinations(text, size)}
 
 
-KEYS = "code long, f long, g long, h long"
-FORMS = "id string, cls long, f long, g long, h long, flat string"
-
-
 def _new(flats: list[str], seen: set[int]) -> list[str]:
     """The texts a task meets for the first time; once it has met ``KEPT`` of them, it starts anew."""
     new = []
@@ -174,51 +174,119 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 2048)
 
 
+def _owned_keys(texts: list[str], bits: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, codes, marks) of levelled texts that are not empty; ``bits`` has a row for each long one."""
+    long = np.array([i for i, t in enumerate(texts) if _long(t)], dtype=np.int64)
+    owner, code = block_codes(bits, [len(texts[i]) for i in long], wide)
+    small = [(i, c, digest(t), -1, 0) for i, t in enumerate(texts) if len(t) < LEAST for c in sorted(window_codes(t))]
+    window = np.array(small, dtype=np.int64).reshape(-1, 2 + len(MARKS))
+    return np.concatenate([long[owner], window[:, 0]]), np.concatenate([code, window[:, 1]]), np.concatenate([_filter(bits)[owner], window[:, 2:]])
+
+
 def keys_of(texts: list[str], wide: bool) -> tuple[np.ndarray, np.ndarray]:
     """(codes, marks) of levelled texts that are not empty: the marks are the filter bits or, beside a window, the class, -1 and 0."""
-    long = [t for t in texts if _long(t)]
-    marks, bits = filter_bits(long)
-    owner, code = block_codes(bits, list(map(len, long)), wide)
-    small = [(c, digest(t), -1, 0) for t in texts if len(t) < LEAST for c in sorted(window_codes(t))]
-    window = np.array(small, dtype=np.int64).reshape(-1, 1 + len(MARKS))
-    return np.concatenate([code, window[:, 0]]), np.concatenate([marks[owner], window[:, 1:]])
+    return _owned_keys(texts, all_bits([t for t in texts if _long(t)]), wide)[1:]
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class of every row with a text."""
+    for batch in _parts(batches):
+        rows = [(i, digest(t)) for i, t in zip(batch.column("id").to_pylist(), map(level, batch.column("text").to_pylist()), strict=True) if t]
+        yield pa.record_batch([pa.array([i for i, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["id", "cls"])
+
+
+def _flats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Level forms, where a task meets them for the first time."""
+    seen: set[int] = set()
+    for batch in _parts(batches):
+        yield pa.record_batch([pa.array(_new([t for t in map(level, batch.column("text").to_pylist()) if t], seen), pa.string())], names=["flat"])
+
+
+PACKS = "low int, high int, texts binary, bits binary"
 
 
-def _keys(wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The codes of each class, where a task meets it for the first time."""
+def _pack(texts: list[str]) -> pa.RecordBatch:
+    lengths, bits = list(map(len, texts)), np.packbits(all_bits([t for t in texts if _long(t)]), axis=1)
+    row = (min(lengths), max(lengths), zlib.compress("\n".join(texts).encode(), 1), bits.tobytes())
+    return pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["low", "high", "texts", "bits"])
+
+
+def _packs(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct level forms with their bits, in packs of up to ``most`` texts of one bucket of lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        open_: dict[int, list[str]] = {}
+        held: Counter = Counter()
         for batch in _parts(batches):
-            new = _new([t for t in map(level, batch.column("text").to_pylist()) if t], seen)
-            codes, marks = keys_of(new, wide)
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in (codes, *marks.T)], names=["code", *MARKS])
+            for t in batch.column("flat").to_pylist():
+                at = _buckets(len(t), False)[0]
+                open_.setdefault(at, []).append(t)
+                held[at] += len(t)
+                if len(open_[at]) >= most or held[at] >= MOST:
+                    yield _pack(open_.pop(at))
+                    del held[at]
+        yield from map(_pack, open_.values())
 
     return run
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class of every row with a text; level form and filter bits (null of short texts) where a task meets the class for the first time."""
-    seen: set[int] = set()
-    for batch in _parts(batches):
-        rows = [(i, t) for i, t in zip(batch.column("id").to_pylist(), map(level, batch.column("text").to_pylist()), strict=True) if t]
-        new = _new([t for _, t in rows], seen)
-        long = [t for t in new if _long(t)]
-        bits = dict(zip(long, filter_bits(long)[0].tolist(), strict=True))
-        left, out, none = set(new), [], [None] * len(MARKS)
-        for i, t in rows:
-            out.append((i, digest(t), *(bits.get(t, none) if t in left else none), t if t in left else None))
-            left.discard(t)
-        columns = zip(*out, strict=True) if out else [[]] * (3 + len(MARKS))
-        kinds = (pa.string(), *[pa.int64()] * (1 + len(MARKS)), pa.string())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "cls", *MARKS, "flat"])
+@functools.lru_cache(maxsize=8)
+def _unpacked(texts: bytes, bits: bytes, wide: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and lengths of a pack, and its (text index, codes, marks) in order of the codes."""
+    flats = zlib.decompress(texts).decode().split("\n")
+    n = FILTER + TABLES * BLOCK
+    rows = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, (n + 7) // 8), axis=1, count=n).astype(bool)
+    owner, codes, marks = _owned_keys(flats, rows, wide)
+    order = np.argsort(codes, kind="stable")
+    return flats, np.array(list(map(len, flats))), owner[order], codes[order], np.ascontiguousarray(marks[order].T)
+
+
+def _meeting(x: tuple, y: tuple) -> list[tuple[int, int]]:
+    """Places (in ``y``, in ``x``), in order, of texts of two packs that share a code, may agree by length and, but for windows, lie within the radius."""
+    (_, length_a, owner_a, code_a, marks_a), (_, length_b, owner_b, code_b, marks_b) = x, y
+    first = np.searchsorted(code_b, code_a, side="left")
+    count = np.searchsorted(code_b, code_a, side="right") - first
+    met = np.flatnonzero(count)
+    first, count = first[met], count[met]
+    ends = np.cumsum(count)
+    out, at = [np.zeros(0, np.int64)], 0
+    while at < len(met):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+        n = count[at:stop]
+        i = np.repeat(met[at:stop], n)
+        j = np.arange(int(n.sum())) + np.repeat(first[at:stop] - (ends[at:stop] - n - before), n)
+        la, lb = length_a[owner_a[i]], length_b[owner_b[j]]
+        able = np.minimum(la, lb) >= SIMILARITY * np.maximum(la, lb)
+        i, j = i[able], j[able]
+        apart = sum(np.bitwise_count((a[i] ^ b[j]).view(np.uint64)).astype(np.int16) for a, b in zip(marks_a, marks_b, strict=True))
+        near = (apart <= RADIUS) | (marks_a[1][i] == -1) & (marks_b[1][j] == -1)
+        out.append(np.unique(owner_b[j[near]] * len(length_a) + owner_a[i[near]]))
+        at = stop
+    return [divmod(p, len(length_a)) for p in np.unique(np.concatenate(out)).tolist()]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes of the texts of two packs that agree, equal ones included."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            ta, ba, tb, bb = (batch.column(c)[at].as_py() for c in ("texts_a", "bits_a", "texts_b", "bits_b"))
+            x, y = _unpacked(ta, ba, False), _unpacked(tb, bb, True)
+            found = [(x[0][i], y[0][j]) for j, i in _meeting(x, y) if alike(y[0][j], x[0][i])]  # by the second side: its letters are kept
+            yield pa.record_batch([pa.array([digest(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+@functools.lru_cache(maxsize=1 << 8)
+def _places(text: str) -> dict[str, int]:
+    where: dict[str, int] = {}
+    for i, c in enumerate(text):
+        where[c] = where.get(c, 0) | 1 << i
+    return where
 
 
 def common(a: str, b: str, least: float = 0.0) -> int:
     """Length of the longest common subsequence, by bits of one big integer per character; -1 once ``least`` is out of reach."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
+    where = _places(a)
     full = (1 << len(a)) - 1
     v = full
     for at in range(0, len(b), 48):
@@ -248,38 +316,6 @@ def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     return common(a, b, least * longer) >= least * longer
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        keep = [alike(a, b) for a, b in zip(batch.column("flat_a").to_pylist(), batch.column("flat_b").to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-MOST_HOT = 200_000  # codes whose split is broadcast; more are joined
-
-
-def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Marks (``a_f`` and so on, ``b_f`` and so on) of texts that share a code and, but for windows, lie within the radius."""
-    shared_folder(a.sparkSession)
-    parts = F.ceil(F.col("count") / HOT).cast("int")
-    hot = b.groupBy("code").count().where(F.col("count") > HOT).select("code", parts.alias("parts")).checkpoint()
-    n = hot.count()  # counts of rows, copies in different tasks included, so a part is never above HOT classes by much
-    b = b.repartition("code").dropDuplicates(["code", *MARKS])
-    keys = ["code"]
-    if n:
-        many = F.broadcast(hot) if n <= MOST_HOT else hot
-        parts = F.coalesce("parts", F.lit(1))
-        b = b.join(many, "code", "left").withColumn("part", F.pmod(F.xxhash64(*MARKS), parts).cast("int")).drop("parts")
-        a = a.join(many, "code", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        keys.append("part")
-    x, y = a.alias("x"), b.alias("y")
-    same: Column = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS))
-    near = (F.col("x.g") == -1) & (F.col("y.g") == -1) | (apart <= RADIUS)
-    return x.join(y, same & near).select(*(F.col(f"{side}.{m}").alias(f"{new}_{m}") for side, new in (("x", "a"), ("y", "b")) for m in MARKS)).distinct()
-
-
 def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links between the text classes of two splits, and the members of the classes.
 
@@ -289,24 +325,14 @@ def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame,
     Repeated rows add nothing. Empty tables give empty results. Other columns are ignored. Very long texts are compared
     whole: a pair costs time in the product of its lengths over the word size of the machine.
     """
+    shared_folder(first.sparkSession)
     sides = [x.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null") for x in (first, second)]
-    candidates = _candidates(*(x.select("text").mapInArrow(_keys(wide), KEYS) for x, wide in zip(sides, (False, True), strict=True)))
-    forms = [x.mapInArrow(_forms, FORMS) for x in sides]
-
-    def known(rows: DataFrame) -> DataFrame:
-        """Level forms by filter bits, and the short ones by class; one exchange serves the deduplication and the join."""
-        by_window = F.when(F.length("flat") < LEAST, F.struct(F.col("cls").alias("f"), F.lit(-1).cast("long").alias("g"), F.lit(0).cast("long").alias("h")))
-        ways = F.explode(F.array_compact(F.array(F.when(F.col("f").isNotNull(), F.struct(*MARKS)), by_window)))
-        rows = rows.where("flat is not null").select("cls", "flat", ways.alias("w")).select("cls", *(f"w.{m}" for m in MARKS), "flat")
-        return rows.repartition(*MARKS).dropDuplicates([*MARKS, "cls"])
-
-    flats = list(map(known, forms))
-    left, right = (x.select(F.col("cls").alias(side), *(F.col(m).alias(f"{side}_{m}") for m in MARKS), F.col("flat").alias(f"flat_{side}")) for x, side in zip(flats, "ab", strict=True))
-    near = candidates.join(right, [f"b_{m}" for m in MARKS]).join(left, [f"a_{m}" for m in MARKS]).where("a <> b")
-    checked = near.select("a", "b", "flat_a", "flat_b").mapInArrow(_confirmed, "a long, b long")
-    members = [x.select("id", "cls").distinct() for x in forms]
-    same = members[0].select("cls").distinct().join(members[1].select("cls").distinct(), "cls")
-    return checked.unionByName(same.select(F.col("cls").alias("a"), F.col("cls").alias("b"))), members[0], members[1]
+    left, right = (x.select("text").mapInArrow(_flats, "flat string").distinct().mapInArrow(_packs(HOT), PACKS).checkpoint() for x in sides)
+    left, right = (x.select(*(F.col(c).alias(f"{c}_{side}") for c in x.columns)) for x, side in ((left, "a"), (right, "b")))
+    able = (F.col("high_a") >= F.col("low_b") * (SIMILARITY - 1e-9)) & (F.col("high_b") >= F.col("low_a") * (SIMILARITY - 1e-9))
+    # a product that keeps one pack of the second side's partition at hand and sends nothing to the driver
+    links = left.join(right.hint("shuffle_replicate_nl"), able).select("texts_a", "bits_a", "texts_b", "bits_b").mapInArrow(_links, "a long, b long")
+    return links, *(x.mapInArrow(_classes, "id string, cls long").distinct() for x in sides)
 
 
 def _sides(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
