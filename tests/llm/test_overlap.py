@@ -132,3 +132,12 @@ def test_no_codes_or_pairs_are_shuffled(spark) -> None:
     links = O.cross_split_classes(q, c)[0]
     assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
     assert len([r for r in links.collect() if r["a"] == r["b"]]) == 20
+
+
+def test_texts_side_by_side() -> None:
+    r = random.Random(9)
+    for _ in range(60):
+        b, *others = ("".join(r.choice("abcdé") for _ in range(r.randrange(130))) for _ in range(7))
+        others += [b, b[: r.randrange(len(b) + 1)], ""]
+        for least in (0.5, 0.65, 0.8):
+            assert O.all_alike(b, others, least) == [min(len(a), len(b)) > 0 and lcs(a, b) >= least * max(len(a), len(b)) for a in others]

@@ -43,6 +43,8 @@ SIMILARITY = 0.8
 HOT = 4096  # classes of a pack
 MOST = 1 << 20  # characters of a pack; a longer text is one alone
 AT_ONCE = 1 << 21  # pairs that share a code, looked at together
+MOST_MET = 1 << 16  # candidates a task holds at once
+SIDE_BY_SIDE = 1 << 13  # characters of the texts compared with one in one go
 TABLES, BLOCK, FILTER, RADIUS = 28, 9, 192, 57
 SECTIONS, CLASSES = 8, 64
 KEPT = 1 << 18  # classes a task remembers to have met
@@ -269,15 +271,21 @@ def _meeting(x: tuple, y: tuple) -> list[tuple[int, int]]:
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes of the texts of two packs that agree, equal ones included."""
     for batch in batches:
+        met: dict[str, list[str]] = {}
         for at in range(batch.num_rows):
             ta, ba, tb, bb = (batch.column(c)[at].as_py() for c in ("texts_a", "bits_a", "texts_b", "bits_b"))
             x, y = _unpacked(ta, ba, False), _unpacked(tb, bb, True)
-            found = [(x[0][i], y[0][j]) for j, i in _meeting(x, y) if alike(y[0][j], x[0][i])]  # by the second side: its letters are kept
-            yield pa.record_batch([pa.array([digest(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for j, i in _meeting(x, y):
+                met.setdefault(y[0][j], []).append(x[0][i])
+            if at == batch.num_rows - 1 or sum(map(len, met.values())) > MOST_MET:
+                found = [(digest(a), digest(b)) for b, others in met.items() for a, k in zip(others, all_alike(b, others), strict=True) if k]
+                yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                met = {}
 
 
-@functools.lru_cache(maxsize=1 << 8)
+@functools.lru_cache(maxsize=1 << 13)
 def _places(text: str) -> dict[str, int]:
+    """Where each character of a text stands, as the bits of a number."""
     where: dict[str, int] = {}
     for i, c in enumerate(text):
         where[c] = where.get(c, 0) | 1 << i
@@ -298,22 +306,56 @@ def common(a: str, b: str, least: float = 0.0) -> int:
     return len(a) - v.bit_count()
 
 
-@functools.lru_cache(maxsize=1 << 12)
-def _letters(text: str) -> Counter:
-    return Counter(text)
+def _reach(b: str, others: list[str], least: list[float]) -> list[bool]:
+    """For each of ``others`` whether its longest common subsequence with ``b`` has its ``least`` length.
+
+    As in ``common``, with the texts side by side in one integer, a bit free between them for what is carried.
+    """
+    where: dict[str, int] = {}
+    starts, full, at = [], 0, 0
+    for t in others:
+        starts.append(at)
+        for c, bits in _places(t).items():
+            where[c] = where.get(c, 0) | bits << at
+        full |= (1 << len(t)) - 1 << at
+        at += len(t) + 1
+    v = full
+    for at in range(0, len(b), 48):
+        for m in [where[c] for c in b[at : at + 48] if c in where]:
+            u = v & m
+            v = (v + u | v - u) & full
+        rest = max(0, len(b) - at - 48)
+        if 2 * rest < len(b):  # before that nothing is decided
+            reached = [len(t) - (v >> s & (1 << len(t)) - 1).bit_count() + rest >= x for t, s, x in zip(others, starts, least, strict=True)]
+            if not rest or not any(reached):
+                return reached
+    return [x <= 0 for x in least]  # ``b`` is empty
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _letters(text: str) -> np.ndarray:
+    """How often a text has each letter, rare ones counted together."""
+    return np.bincount(_LETTERS[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)], minlength=CLASSES).astype(np.int32)
+
+
+def all_alike(b: str, others: list[str], least: float = SIMILARITY) -> list[bool]:
+    """Whether levelled texts agree with ``b``, in order, in ``least`` of the characters of the longer one."""
+    need = [least * max(len(a), len(b)) for a in others]
+    left = [i for i, a in enumerate(others) if 0 < min(len(a), len(b)) >= need[i] and a != b]
+    if left:  # no common subsequence holds more of a letter than both texts have
+        shared = np.minimum(np.stack([_letters(others[i]) for i in left]), _letters(b)).sum(axis=1)
+        left = [i for i, n in zip(left, shared.tolist(), strict=True) if n >= need[i]]
+    out = [a == b != "" for a in others]
+    step = max(1, SIDE_BY_SIDE // max(1, len(b)))
+    for at in range(0, len(left), step):
+        part = left[at : at + step]
+        for i, k in zip(part, _reach(b, [others[i] for i in part], [need[i] for i in part]), strict=True):
+            out[i] = k
+    return out
 
 
 def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether levelled texts agree, in order, in ``least`` of the characters of the longer one."""
-    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
-    if not shorter or shorter < least * longer:
-        return False
-    if a == b:
-        return True
-    # no common subsequence holds more of a letter than both texts have
-    if (_letters(a) & _letters(b)).total() < least * longer:
-        return False
-    return common(a, b, least * longer) >= least * longer
+    return all_alike(b, [a], least)[0]
 
 
 def cross_split_classes(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
