@@ -7,7 +7,7 @@ import random
 import pytest
 
 from veilspan.llm import overlap as O
-from veilspan.llm.characters import level
+from veilspan.llm.characters import level, levels
 
 WORDS = "amber barley canyon delta ember falcon garden harbor island jasmine kettle lantern meadow nectar orchard pebble quartz river saddle timber valley willow".split()
 
@@ -141,3 +141,59 @@ def test_texts_side_by_side() -> None:
         others += [b, b[: r.randrange(len(b) + 1)], ""]
         for least in (0.5, 0.65, 0.8):
             assert O.all_alike(b, others, least) == [min(len(a), len(b)) > 0 and lcs(a, b) >= least * max(len(a), len(b)) for a in others]
+
+
+def test_fronts_lose_no_pair() -> None:
+    r = random.Random(5)
+    met: dict[str, list[str]] = {}
+    for low, high in LENGTHS:
+        near = at_band(r, low, high, 0.8, 0.83, 30)
+        for b, a in near:
+            met.setdefault(b, []).extend([a, b, *(x for x, _ in near if 0.8 <= len(x) / len(b) <= 1.25)])
+    assert O.fronts_allow([("a", ""), ("", "a"), ("ab", "ab")], 0.8)[2]
+    met["日本語漢字" * 30] = ["語漢" + "日本語漢字" * 29, "Ωжяλ" * 35] * 80
+    kept = O.sifted(met)
+    for b, others in met.items():
+        assert [a for a in others if O.alike(a, b)] == [a for a in kept.get(b, []) if O.alike(a, b)]
+    for least in (0.5, 0.65, 0.8):
+        pairs = [("".join(r.choice("abcdé") for _ in range(r.randrange(1, 90))), "".join(r.choice("abcdé") for _ in range(r.randrange(1, 90)))) for _ in range(200)]
+        for (b, a), k in zip(pairs, O.fronts_allow(pairs, least), strict=True):
+            assert k or lcs(a, b) < least * max(len(a), len(b))
+
+
+def test_few_unlike_texts_are_compared_whole(spark, monkeypatch) -> None:
+    compared = []
+    monkeypatch.setattr(O, "all_alike", lambda b, others, at=O.all_alike: (compared.extend(others), at(b, others))[1])
+    r = random.Random(2)
+    texts = [level(" ".join(r.choice(WORDS) for _ in range(40))) for _ in range(400)]
+    batch = O._agreeing({b: texts[200:] for b in texts[:200]} | {texts[0]: [texts[0], *texts[200:]]})
+    assert batch.num_rows == 1 and len(compared) < 400  # of 40,001 candidates
+
+
+def test_meeting_against_brute_force() -> None:
+    r = random.Random(4)
+    base = ["".join(r.choice(WORDS) for _ in range(n)) for n in range(1, 40) for _ in range(4)]
+    sides = [sorted({noisy(t, r, 0.1) for t in base} - {""}, key=len) for _ in range(2)]
+    packs = [O._unpacked(*(p.column(c)[0].as_py() for c in ("texts", "bits")), wide) for p, wide in zip(map(O._pack, sides), (False, True), strict=True)]
+    got = {(packs[0].flats[i], packs[1].flats[j]) for j, i in zip(*(p.tolist() for p in O._meeting(*packs)), strict=True)}
+    bits, windows = ([dict(zip(x, f, strict=True)) for x, f in zip(xs, fs, strict=True)] for xs, fs in (
+        ([[t for t in s if O._long(t)] for s in sides], [O.all_bits([t for t in s if O._long(t)]) for s in sides]),
+        ([[t for t in s if len(t) < O.LEAST] for s in sides], [[O.window_codes(t) for t in s if len(t) < O.LEAST] for s in sides]),
+    ))
+    want = set()
+    for a in sides[0]:
+        for b in sides[1]:
+            if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+                continue
+            if a in bits[0] and b in bits[1]:
+                same = bits[0][a] == bits[1][b]
+                if same[O.FILTER :].reshape(O.TABLES, O.BLOCK).all(axis=1).any() and (~same[: O.FILTER]).sum() <= O.RADIUS:
+                    want.add((a, b))
+            if a in windows[0] and b in windows[1] and windows[0][a] & windows[1][b]:
+                want.add((a, b))
+    assert len(want) > 100 and got == want
+
+
+def test_levels_of_many_texts() -> None:
+    texts = [None, "", "Éa ß ﬁ ½ Ǆ\n", "x", " .,", "аbс Ωж 日本 ⁄ ²", "İ ŉ ΐ", *("".join(map(chr, range(i, i + 999))) for i in range(0, 0xD000, 999))] * 2
+    assert levels(texts) == [level(t) for t in texts] and levels([]) == []

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+
 # Letters of other scripts or alphabets that look like one Latin letter.
 LOOKALIKES = {
     # Cyrillic, small
@@ -56,3 +58,28 @@ _LEVEL = _Level(_ASCII_LEVEL)
 def level(text: str | None) -> str:
     """``text`` without letter case, spacing, punctuation, accents and look-alike letters; null gives ''."""
     return text.translate(_LEVEL) if text else ""
+
+
+_NONE, _NEW, _MANY = 0, -1, -2  # level forms of a character: none, not yet looked up, several characters
+_ONE = np.full(0x110000, _NEW, dtype=np.int32)
+
+
+def levels(texts: list[str | None]) -> list[str]:
+    """``level`` of each text, for many at once."""
+    return [t for at in range(0, len(texts), 256) for t in _levels(texts[at : at + 256])]
+
+
+def _levels(texts: list[str | None]) -> list[str]:
+    points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = _ONE[points]
+    if (new := points[out == _NEW]).size:
+        for point in set(new.tolist()):
+            plain = _LEVEL[point]
+            _ONE[point] = _NONE if not plain else ord(plain) if len(plain) == 1 else _MANY
+        out = _ONE[points]
+    ends = np.cumsum([0, *(len(t or "") for t in texts)])
+    many = set((np.searchsorted(ends, np.flatnonzero(out == _MANY), side="right") - 1).tolist())
+    there = out != _NONE
+    kept = np.concatenate([[0], np.cumsum(there)])[ends].tolist()
+    flat = np.maximum(out[there], 0).tobytes().decode("utf-32-le", "surrogatepass")
+    return [level(t) if i in many else flat[kept[i] : kept[i + 1]] for i, t in enumerate(texts)]
