@@ -281,7 +281,8 @@ def _meeting(x: Pack, y: Pack) -> tuple[np.ndarray, np.ndarray]:
     low, high = _able(x, y)
     out = [np.zeros(0, np.int64)]
     owner = x.blocks & (1 << PLACE) - 1
-    code = x.blocks - owner
+    some = (low < high)[owner]
+    owner, code = owner[some], (x.blocks - owner)[some]
     first = np.searchsorted(y.blocks, code + low[owner])
     for i, j in _runs(first, np.searchsorted(y.blocks, code + high[owner]) - first):
         i, j = owner[i], y.blocks[j] & (1 << PLACE) - 1
@@ -328,63 +329,76 @@ def sifted(met: dict[str, list[str]], least: float = SIMILARITY) -> dict[str, li
     Where a few texts of like length have candidates, or very long ones do, all of them stay.
     """
     out: dict[str, list[str]] = {}
-    group: list[tuple[str, str]] = []
+    group: list[tuple[str, list[str]]] = []
+    held = 0
 
     def close() -> None:
-        kept = fronts_allow(group, least) if len(group) >= WORTH and len(group[-1][0]) <= LONG else [True] * len(group)
-        for (b, a), k in zip(group, kept, strict=True):
-            if k:
-                out.setdefault(b, []).append(a)
+        kept = fronts_allow(group, least) if held >= WORTH and len(group[-1][0]) <= LONG else itertools.repeat(True)
+        kept = iter(kept)
+        for b, others in group:
+            if left := list(itertools.compress(others, itertools.islice(kept, len(others)))):
+                out.setdefault(b, []).extend(left)
         group.clear()
 
     for b in sorted(met, key=len):
-        for a in met[b]:
-            if group and (len(group) * len(b) >= GROUP or len(b) > 1.1 * len(group[0][0])):
+        step = GROUP // max(1, len(b)) + 1
+        for at in range(0, len(met[b]), step):
+            part = met[b][at : at + step]
+            if group and ((held + len(part)) * len(b) > GROUP or len(b) > 1.1 * len(group[0][0])):
                 close()
-            group.append((b, a))
+                held = 0
+            group.append((b, part))
+            held += len(part)
     close()
     return out
 
 
-def fronts_allow(pairs: list[tuple[str, str]], least: float) -> list[bool]:
-    """Whether pairs of texts may have a common subsequence of ``least`` of the longer one, by that of their fronts.
+def fronts_allow(group: list[tuple[str, list[str]]], least: float) -> list[bool]:
+    """Whether texts and their candidates, pair by pair, may have a common subsequence of ``least`` of the longer one, by that of their fronts.
 
     Of two texts of n and m characters, none is longer than that of n - m + p characters of the one and p of the other in
     front, and m - p: what it has before and after a place where the rests of both are as long. For the p of all pairs,
     about half a text, this is found as in ``common``, for all pairs at once, by 63 bits of a word. Letters that
     are counted together in ``_LETTERS`` are taken as the same, so that the bound only rises.
     """
-    n, m = (np.array([len(x[k]) for x in pairs]) for k in (0, 1))
+    row = np.repeat(np.arange(len(group)), [len(others) for _, others in group])
+    n = np.array([len(b) for b, _ in group])[row]
+    m = np.array([len(a) for _, others in group for a in others])
     p = int(min(max(n.max() / 2, (m - n).max()), m.min()))
     front = np.clip(p + n - m, 0, n)
     size = int(front.max())
-    row = {b: i for i, b in enumerate(dict.fromkeys(b for b, _ in pairs))}
-    starts = [b[:size] for b in row]
+    starts = [b[:size] for b, _ in group]
     lengths = np.array(list(map(len, starts)))
     at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    cells = np.repeat(np.arange(len(row)) * CLASSES, lengths) + _classes_of("".join(starts))
-    where = np.zeros((-(-size // 63), len(row) * CLASSES), dtype=np.uint64)
+    cells = np.repeat(np.arange(len(group)) * CLASSES, lengths) + _classes_of("".join(starts))
+    where = np.zeros((-(-size // 63), len(group) * CLASSES), dtype=np.uint64)
     np.add.at(where, (at // 63, cells), np.uint64(1) << (at % 63).astype(np.uint64))
-    base = np.array([row[b] for b, _ in pairs]) * CLASSES
-    letters = np.ascontiguousarray(_classes_of("".join(a[:p] for _, a in pairs)).reshape(len(pairs), p).T)
-    full, top, one = np.uint64((1 << 63) - 1), np.uint64(63), np.zeros(len(pairs), dtype=np.uint64)
-    v = np.full((len(where), len(pairs)), full)
-    u, t = np.empty_like(one), np.empty_like(one)
-    for c in letters:
-        cell = base + c
-        for k, (w, x) in enumerate(zip(where, v, strict=True)):
-            np.take(w, cell, out=u, mode="clip")
-            u &= x
-            np.add(x, u, out=t)
-            if k:
-                t += one  # what is carried from the word before
-            if k + 1 < len(where):
-                np.right_shift(t, top, out=one)
-            x ^= u
-            x |= t
+    order = np.argsort(-front, kind="stable")  # a word is needed for those in front whose fronts reach it
+    base = row[order] * CLASSES
+    letters = _classes_of("".join([a[:p] for _, others in group for a in others])).reshape(len(m), p)[order].T
+    full, top = np.uint64((1 << 63) - 1), np.uint64(63)
+    v = np.full((len(where), len(m)), full)
+    cell, u, t, one = np.empty_like(base), *(np.zeros(len(m), dtype=np.uint64) for _ in range(3))
+    words = []
+    for k, w in enumerate(where):
+        c = int((front > 63 * k).sum())
+        words.append((w.take, v[k, :c], cell[:c], u[:c], t[:c], one[:c], k > 0, k + 1 < len(where)))
+    for letter in np.ascontiguousarray(letters):
+        np.add(base, letter, out=cell)
+        for take, x, at_, y, z, over, later, more in words:
+            take(at_, out=y, mode="clip")
+            y &= x
+            np.add(x, y, out=z)
+            if later:
+                z += over  # what is carried from the word before
+            if more:
+                np.right_shift(z, top, out=over)
+            x ^= y
+            x |= z
             x &= full
-    inside = np.clip(front - 63 * np.arange(len(where))[:, None], 0, 63).astype(np.uint64)
-    found = np.bitwise_count(~v & (np.uint64(1) << inside) - np.uint64(1)).sum(axis=0, dtype=np.int64)
+    inside = np.clip(front[order] - 63 * np.arange(len(where))[:, None], 0, 63).astype(np.uint64)
+    found = np.empty_like(m)
+    found[order] = np.bitwise_count(~v & (np.uint64(1) << inside) - np.uint64(1)).sum(axis=0, dtype=np.int64)
     return (found + m - p >= least * np.maximum(n, m)).tolist()
 
 
